@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, id_files, packing
+from . import bpe, chunks, id_files, langid, packing, toxicity
 from .shared import work_dir
 
 
@@ -18,12 +18,31 @@ def op1_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(manifest)
 
 
+def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.learnable())
+    return toxicity.score(docs, model).select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", "predicted")
+
+
+def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), chunks.default_vocabulary())
+
+
+def op7_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.learnable()))
+    return langid.identify(docs, model).select("doc_id", (~langid.learnable()).alias("held_out"), "lang_pred", "score")
+
+
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), work_dir(spark), chunks.default_vocabulary(), end_id=1)
 
 
 QUERIES = {
     "op1_elias_fano_ids": op1_elias_fano_ids,
+    "op5_nnpu_toxicity": op5_nnpu_toxicity,
+    "op6_rank_array_bpe": op6_rank_array_bpe,
+    "op7_naive_bayes_langid": op7_naive_bayes_langid,
     "op9_power_of_two_packing": op9_power_of_two_packing,
 }
 
