@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, id_files, langid, packing, toxicity
+from . import bpe, chunks, id_files, langid, near_dup, packing, toxicity
 from .shared import work_dir
 
 
@@ -34,6 +34,10 @@ def op7_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (~langid.learnable()).alias("held_out"), "lang_pred", "score")
 
 
+def op8_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), work_dir(spark))
+
+
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), work_dir(spark), chunks.default_vocabulary(), end_id=1)
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_nnpu_toxicity": op5_nnpu_toxicity,
     "op6_rank_array_bpe": op6_rank_array_bpe,
     "op7_naive_bayes_langid": op7_naive_bayes_langid,
+    "op8_setsketch_near_duplicates": op8_setsketch_near_duplicates,
     "op9_power_of_two_packing": op9_power_of_two_packing,
 }
 
