@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, id_files, langid, near_dup, packing, toxicity
+from . import bpe, chunks, id_files, langid, near_dup, packing, top_k, toxicity
 from .shared import work_dir
 
 
@@ -42,6 +42,11 @@ def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), work_dir(spark), chunks.default_vocabulary(), end_id=1)
 
 
+def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors.where("vec_id % 50 = 0"), work_dir(spark), k=5)
+
+
 QUERIES = {
     "op1_elias_fano_ids": op1_elias_fano_ids,
     "op5_nnpu_toxicity": op5_nnpu_toxicity,
@@ -49,6 +54,7 @@ QUERIES = {
     "op7_naive_bayes_langid": op7_naive_bayes_langid,
     "op8_setsketch_near_duplicates": op8_setsketch_near_duplicates,
     "op9_power_of_two_packing": op9_power_of_two_packing,
+    "op10_kd_tree_top_k": op10_kd_tree_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {}
