@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, id_files, langid, near_dup, packing, top_k, toxicity
+from . import bpe, chunks, id_files, langid, near_dup, packing, projection, top_k, toxicity
 from .shared import work_dir
 
 
@@ -18,6 +18,10 @@ def op1_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(manifest)
 
 
+def op4_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.components(_table(spark, sf_dir, "embeddings"), work_dir(spark))
+
+
 def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -49,6 +53,7 @@ def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_elias_fano_ids": op1_elias_fano_ids,
+    "op4_sorted_projections": op4_sorted_projections,
     "op5_nnpu_toxicity": op5_nnpu_toxicity,
     "op6_rank_array_bpe": op6_rank_array_bpe,
     "op7_naive_bayes_langid": op7_naive_bayes_langid,
