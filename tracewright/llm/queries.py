@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, id_files, langid, near_dup, packing, projection, top_k, toxicity
+from . import bpe, chunks, id_files, langid, near_dup, packing, projection, top_k, toxicity, warc
 from .shared import work_dir
 
 
@@ -18,6 +18,10 @@ def op1_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(manifest)
 
 
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), work_dir(spark))
+
+
 def op4_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.components(_table(spark, sf_dir, "embeddings"), work_dir(spark))
 
@@ -53,6 +57,7 @@ def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_elias_fano_ids": op1_elias_fano_ids,
+    "op3_warc_chunks": op3_warc_chunks,
     "op4_sorted_projections": op4_sorted_projections,
     "op5_nnpu_toxicity": op5_nnpu_toxicity,
     "op6_rank_array_bpe": op6_rank_array_bpe,
@@ -62,4 +67,17 @@ QUERIES = {
     "op10_kd_tree_top_k": op10_kd_tree_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_chunks": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+            FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+}
