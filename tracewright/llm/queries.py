@@ -4,8 +4,9 @@ whole table; the operator has the general interface."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chunks, id_files, langid, near_dup, packing, projection, top_k, toxicity, warc
+from . import bpe, chunks, hilbert, id_files, langid, near_dup, packing, projection, top_k, toxicity, warc
 from .shared import work_dir
 
 
@@ -18,6 +19,11 @@ def op1_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(manifest)
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.assign(_table(spark, sf_dir, "documents"), work_dir(spark), ["lang", "source", "n_chars"], shards=8, id_column="doc_id", text_column="text")
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("place").alias("curve_place"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), work_dir(spark))
 
@@ -57,6 +63,7 @@ def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_elias_fano_ids": op1_elias_fano_ids,
+    "op2_hilbert_shards": op2_hilbert_shards,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_sorted_projections": op4_sorted_projections,
     "op5_nnpu_toxicity": op5_nnpu_toxicity,
