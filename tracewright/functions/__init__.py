@@ -1,0 +1 @@
+"""Scalar expressions: metrics on arrays, text rules, ranks."""
