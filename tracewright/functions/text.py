@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Code point ranges of scripts written without spaces.
 UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f\U00020000-\U0002a6df"
@@ -36,15 +37,24 @@ LEAST_SCRIPT, LEAST_UNSPACED = 0.10, 0.20
 SHINGLE_WORDS, SHINGLE_CHARS, SKETCH, BAND = 5, 12, 16, 4
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def reference_tokens(text: Column) -> Column:
     """A quarter of the code points, rounded up, at least 1."""
     return F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(4.0).cast("double")).cast("long"))
 
 
-@F.arrow_udf("string")
-def nfc(texts: pa.Array) -> pa.Array:
+def nfc(text: Column) -> Column:
     """Unicode NFC, which Spark has no function for."""
-    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def normalise_lines(text: Column) -> Column:
@@ -68,13 +78,16 @@ def truncated(text: Column, most_tokens: int, slack: float = 0.15) -> Column:
     last space, in its final ``slack`` part, without trailing space; the prefix itself if nothing
     else is left of it. Texts within the cap stay."""
     cap = 4 * most_tokens
-    cut = F.left(text, F.lit(cap))
     floor = int(cap * (1.0 - slack))
-    at = lambda sep: F.length(cut) - F.instr(F.reverse(cut), sep)  # noqa: E731  0-based place of the last one
-    found = lambda sep: (F.instr(cut, sep) > 0) & (at(sep) >= floor) & (at(sep) > 0)
-    drawn = F.when(found("\n"), F.left(cut, at("\n"))).when(found(" "), F.left(cut, at(" "))).otherwise(cut)
-    trimmed = F.regexp_replace(drawn, "(?U)[\\s\\x1c-\\x1f]+\\z", "")
-    return F.when(F.length(text) <= cap, text).otherwise(F.when(trimmed == "", drawn).otherwise(trimmed))
+
+    def drawn_back(cut: Column) -> Column:
+        # 0-based place of the last line end and of the last space
+        line, space = (F.length(cut) - F.instr(F.reverse(cut), sep) for sep in ("\n", " "))
+        good = lambda at, sep: (F.instr(cut, sep) > 0) & (at >= floor) & (at > 0)
+        return F.when(good(line, "\n"), F.left(cut, line)).when(good(space, " "), F.left(cut, space)).otherwise(cut)
+
+    trimmed = lambda drawn: let(F.regexp_replace(drawn, "(?U)[\\s\\x1c-\\x1f]+\\z", ""), lambda t: F.when(t == "", drawn).otherwise(t))
+    return F.when(F.length(text) <= cap, text).otherwise(let(let(F.left(text, F.lit(cap)), drawn_back), trimmed))
 
 
 def length_reason(text: Column, least: int, most: int) -> Column:
@@ -84,19 +97,18 @@ def length_reason(text: Column, least: int, most: int) -> Column:
     return F.when(blank, "empty_after_normalise").when(n < least, "too_short").when(n > most, "over_max_tokens")
 
 
-def class_fraction(text: Column, ranges: str) -> Column:
+def class_fraction(text: Column, ranges: str | Column) -> Column:
     """Share of the characters that are not space which lie in the ranges; null for a blank text."""
-    inside = F.length(F.regexp_replace(text, f"[^{ranges}]", ""))
+    ranges = F.lit(ranges) if isinstance(ranges, str) else ranges
+    inside = F.length(F.regexp_replace(text, F.concat(F.lit("[^"), ranges, F.lit("]")), F.lit("")))
     return F.try_divide(inside.cast("double"), F.length(F.regexp_replace(text, "(?U)[\\s\\x1c-\\x1f]", "")).cast("double"))
 
 
 def looks_like(text: Column, lang: Column, least: float = LEAST_SCRIPT) -> Column:
     """Whether a text shows the script of its language; true for languages without an entry, false
     for a blank text of one that has."""
-    known = F.lit(True)
-    for code, ranges in SCRIPTS.items():
-        known = F.when(lang == code, F.coalesce(class_fraction(text, ranges) >= least, F.lit(False))).otherwise(known)
-    return known
+    ranges = F.create_map(*[F.lit(x) for pair in SCRIPTS.items() for x in pair])[lang]
+    return F.when(ranges.isNull(), True).otherwise(F.coalesce(class_fraction(text, ranges) >= least, F.lit(False)))
 
 
 def is_unspaced(text: Column) -> Column:
@@ -112,23 +124,23 @@ def signature(text: Column, digest=F.md5) -> Column:
     """The smallest digests of a text's shingles: of words, of characters for unspaced scripts and
     short texts, of the whole text where that is shorter than two shingles."""
     low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit("(?U)(\\w+)"), F.lit(1))
+    words = F.regexp_extract_all(low, F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
     squeezed = F.trim(F.regexp_replace(low, "(?U)\\s+", " "))
-    by_char = is_unspaced(low) | (F.size(words) < SHINGLE_WORDS)
-    chars = F.transform(F.sequence(F.lit(1), F.length(squeezed) - SHINGLE_CHARS + 1), lambda i: F.substring(squeezed, i, SHINGLE_CHARS))
-    units = (
-        F.when(by_char & (F.length(squeezed) < 2 * SHINGLE_CHARS), F.array(squeezed))
-        .when(by_char, chars)
-        .otherwise(_windows(words, SHINGLE_WORDS, lambda w: F.array_join(w, " ")))
-    )
+    by_word = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE_WORDS + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE_WORDS), " "))
+    windows = lambda q: F.transform(F.sequence(F.lit(1), F.length(q) - SHINGLE_CHARS + 1), lambda i: F.substring(q, i, SHINGLE_CHARS))
+    by_char = lambda q: F.when(F.length(q) < 2 * SHINGLE_CHARS, F.array(q)).otherwise(windows(q))
+    units = let(words, lambda w: F.when(is_unspaced(low) | (F.size(w) < SHINGLE_WORDS), let(squeezed, by_char)).otherwise(by_word(w)))
     return F.slice(F.array_sort(F.transform(F.array_distinct(units), lambda u: digest(u))), 1, SKETCH)
 
 
 def bands(sketch: Column) -> Column:
     """Whole bands of the sketch as ``number|values``; the whole sketch as band 0 if there is none."""
-    count = F.floor(F.size(sketch) / BAND).cast("int")
-    whole = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.concat(b.cast("string"), F.lit("|"), F.array_join(F.slice(sketch, b * BAND + 1, BAND), ",")))
-    return F.when(count > 0, whole).otherwise(F.array(F.concat(F.lit("0|"), F.array_join(sketch, ","))))
+
+    def cut(k: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(k) / BAND).cast("int") - 1), lambda b: F.concat(b.cast("string"), F.lit("|"), F.array_join(F.slice(k, b * BAND + 1, BAND), ",")))
+        return F.when(F.size(k) >= BAND, whole).otherwise(F.array(F.concat(F.lit("0|"), F.array_join(k, ","))))
+
+    return let(sketch, cut)
 
 
 def stratum(domain: Column, lang: Column) -> Column:
