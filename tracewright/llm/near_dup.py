@@ -32,8 +32,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: An estimate this much below the threshold (5 standard deviations) rules a pair out.
 SLACK = 0.155
 #: Members of a band that are compared at a time.
-BLOCK = 256
-KEPT_WORDS = 500_000
+BLOCK = 1024
+KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
