@@ -118,7 +118,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col
             for at in range(0, batch.num_rows, slice_rows):
                 here = batch.slice(at, slice_rows)
                 if out is None:
-                    out, kind = fs.open_output_stream(name), "<u2" if max(table.top, end_id) < 1 << 16 else "<u4"
+                    out, kind = fs.open_output_stream(name, compression=None), "<u2" if max(table.top, end_id) < 1 << 16 else "<u4"
                 flat, bounds = table.texts(here.column(1).to_pylist())
                 sizes.append(np.diff(bounds) + 1)
                 ids.extend(here.column(0).to_pylist())

@@ -94,7 +94,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 1, date: str =
         for batch in batches:
             payloads = batch.column("payload")
             for i, (record, uri, size, digest, refers) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "uri", "size", "digest", "refers_to")))):
-                out = out or fs.open_output_stream(name)
+                out = out or fs.open_output_stream(name, compression=None)
                 fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", _urn(record)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
                 if uri is not None:
                     fields.append(("WARC-Target-URI", re.sub(r"[\r\n]", " ", uri)))
@@ -123,16 +123,19 @@ class _Inflated:
     """The decompressed bytes of an archive, a buffer at a time."""
 
     def __init__(self, source):
-        self.source, self.inflate, self.held, self.raw = source, zlib.decompressobj(31), bytearray(), b""
+        self.source, self.inflate, self.held, self.raw, self.within = source, zlib.decompressobj(31), bytearray(), b"", False
 
     def more(self) -> bool:
         """Appends to ``held``; False at the archive's end."""
         while True:
             if self.inflate.eof:
-                self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+                self.raw, self.inflate, self.within = self.inflate.unused_data, zlib.decompressobj(31), False
             self.raw = self.raw or self.source.read(CHUNK)
             if not self.raw:
+                if self.within:
+                    raise ValueError("the archive ends within a member")
                 return False
+            self.within = True
             data = self.inflate.decompress(self.raw, CHUNK)
             self.raw = b"" if self.inflate.eof else self.inflate.unconsumed_tail
             if data:
@@ -217,7 +220,7 @@ def read_chunks(manifest: DataFrame, with_data: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, at = open_fs(path)
                 held, weight = [], 0
-                with fs.open_input_stream(at) as source:
+                with fs.open_input_stream(at, compression=None) as source:
                     for fields, body in read_records(source):
                         for row in rows(fields, body):
                             held.append(row)
