@@ -48,6 +48,7 @@ class Codec:
         steps = [s["type"] for s in spec["normalizer"]["normalizers"]], [s["type"] for s in spec["pre_tokenizer"]["pretokenizers"]]
         if model["type"] != "BPE" or steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"] is not None:
             raise ValueError("a vocabulary of another make")
+        self.path, self.rules = path, None
         self.vocabulary = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocabulary | self.special).items()}
@@ -99,12 +100,23 @@ class Codec:
                     heapq.heappush(queue, (found, a))
         return [p for p in parts if p >= 0]
 
-    def _plain(self, text: str) -> list[int]:
+    def _words(self, text: str):
+        """The pre-tokens of a text, in byte-level letters."""
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            # Characters newer than Python's tables: the library's tables decide on case and class.
+            if self.rules is None:
+                from tokenizers import Tokenizer
+
+                self.rules = Tokenizer.from_file(self.path)
+            return [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))]
         # Case by character, as the library maps it: no final sigma.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return ["".join([self.letters[b] for b in word.encode()]) for word in self.pattern.findall(text)]
+
+    def _plain(self, text: str) -> list[int]:
         out: list[int] = []
-        for word in self.pattern.findall(text):
-            letters = [self.letters[b] for b in word.encode()]
+        for word in self._words(text):
+            letters = list(word)
             letters[-1] += self.ending
             out += self.merge([self.vocabulary[x] for x in letters])
         return out
