@@ -53,6 +53,26 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
         """SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, event_type AS token
            FROM events""",
     ),
+    # Result documents as cells: three models of different depth, five features, holes of each kind.
+    "panel": (
+        (),
+        (),
+        """SELECT model, n_moe_layers, n_experts, top_k, reached, aux_loss FROM (VALUES
+             ('alpha', 4, 64, 8, 4, CAST(0.01 AS DOUBLE)), ('beta', 6, 32, 4, 5, CAST(NULL AS DOUBLE)), ('gamma', 1, 16, 4, 1, CAST(0.02 AS DOUBLE)))
+             AS t(model, n_moe_layers, n_experts, top_k, reached, aux_loss)""",
+    ),
+    "cells": (
+        (),
+        ("panel",),
+        """SELECT p.model, f.feature, l.layer, l.layer + 1 AS model_layer, CASE WHEN f.feature = 'F2' AND l.layer = 0 THEN 'skipped' ELSE 'ok' END AS status,
+             CAST(round(p.n_experts * 0.05 + 1.5, 3) AS DOUBLE) AS entropy_bits,
+             CAST(f.gain * (1 + l.layer * (3 - l.layer) * 0.05) - (l.layer % 3) * 0.015 AS DOUBLE) AS mi_bits,
+             CAST(f.gain / 2 + 0.01 * l.layer AS DOUBLE) AS agreement,
+             CAST(0.2 + 0.02 * l.layer + p.top_k * 0.01 AS DOUBLE) AS repetition
+           FROM panel p CROSS JOIN (SELECT feature, CAST(gain AS DOUBLE) AS gain FROM (VALUES ('F0', 0.01), ('F1', 0.4), ('F2', 0.6), ('F3', 0.2), ('F4', 0.9)) AS t(feature, gain)) f
+             CROSS JOIN (SELECT layer FROM (VALUES (0), (1), (2), (3), (4), (5)) AS t(layer)) l
+           WHERE l.layer < p.reached AND NOT (p.model = 'gamma' AND f.feature = 'F4')""",
+    ),
     # One row per document of the corpus; short texts and languages make the strata.
     "corpus": (
         ("documents",),
