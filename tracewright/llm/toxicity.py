@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 200_000
+#: Counts that a task of the fit holds before it hands them on, and chunks whose features it keeps.
+HELD_COUNTS, HELD_CHUNKS = 100_000, 30_000
 
 
 def features(text: str) -> set[str]:
@@ -135,26 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str =
     unl = own.where(_lot("id", 2) < unlabelled / n_docs).select("text", F.lit(False).alias("positive"))
     sample = pos.unionByName(unl).dropDuplicates().repartition(tasks)
 
+    def counted(seen):
+        return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "u", "p"])
+
     def tally(batches):
         seen: dict[str, list[int]] = {}
-        sizes, begun = [0, 0], {}
+        begun: dict[str, set] = {}
         for batch in batches:
             for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sizes[positive] += 1
-                present: set = set()
+                present = {""}
                 for chunk in set(text.lower().split()):
                     if (f := begun.get(chunk)) is None:
                         f = begun[chunk] = features(chunk)
                     present |= f
                 for f in present:
                     seen.setdefault(f, [0, 0])[positive] += 1
-                if len(begun) > KEPT_CHUNKS:
+                if len(begun) > HELD_CHUNKS:
                     begun.clear()
-        seen[""] = sizes
-        items = list(seen.items())
-        for at in range(0, len(items), 50_000):
-            here = items[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in here], pa.string()), pa.array([v[0] for _, v in here], pa.int64()), pa.array([v[1] for _, v in here], pa.int64())], names=["f", "u", "p"])
+                if len(seen) > HELD_COUNTS:
+                    yield counted(seen)
+                    seen = {}
+        if seen:
+            yield counted(seen)
 
     counts = sample.mapInArrow(tally, "f string, u long, p long").groupBy("f").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
     expected = F.col("np") * (F.col("u") + 1) / F.col("nu")
