@@ -1,0 +1 @@
+"""Readers and writers: binary traces, corpus lines, result documents, logs."""
