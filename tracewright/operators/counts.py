@@ -11,39 +11,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .information import cross_entropy, marginal, slot_counts
+from .information import marginal, slot_counts
 
 #: The smoothing grid, in the order in which ties are resolved.
 ALPHAS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0)
 
 
-def count_table(slots: DataFrame, keys: Sequence[str], token: str = "token_id") -> DataFrame:
-    """``*keys, token, expert, n, row_n``: slots per token and expert, and per token."""
-    cells = slots.groupBy(*keys, token, "expert").agg(F.count("*").alias("n"))
-    rows = slots.groupBy(*keys, token).agg(F.count("*").alias("row_n"))
-    return cells.join(rows, [*keys, token])
+def cells(slots: DataFrame, keys: Sequence[str], token: str = "token_id") -> DataFrame:
+    """``*keys, token, expert, times``: the one pass over the slots. What follows takes these rows, at most
+    experts times vocabulary of them per key."""
+    return slots.groupBy(*keys, token, "expert").agg(F.count("*").alias("times"))
 
 
-def _scored(slots: DataFrame, train: DataFrame, keys: Sequence[str], n_experts: int, token: str) -> DataFrame:
-    """Each true slot with its cell count, row count and prior (add-one marginal of train); a token that
+def count_table(train: DataFrame, keys: Sequence[str], token: str = "token_id") -> DataFrame:
+    """``*keys, token, expert, n, row_n`` of cells: slots per token and expert, and per token."""
+    row_n = F.sum("times").over(Window.partitionBy(*keys, token))
+    return train.select(*keys, token, "expert", F.col("times").alias("n"), row_n.alias("row_n"))
+
+
+def _scored(true: DataFrame, train: DataFrame, keys: Sequence[str], n_experts: int, token: str) -> DataFrame:
+    """Each true cell with its train count, row count and prior (add-one marginal of train); a token that
     train lacks has counts of 0."""
-    prior = marginal(slot_counts(train, keys, n_experts), keys, smoothing=1.0).withColumnRenamed("p", "prior")
-    cells = train.groupBy(*keys, token, "expert").agg(F.count("*").alias("n"))
-    rows = train.groupBy(*keys, token).agg(F.count("*").alias("row_n"))
-    # Equal slots are counted before the joins: a token's slots are at most n_experts rows.
-    true = slots.groupBy(*keys, token, "expert").agg(F.count("*").alias("times"))
-    out = true.join(prior, [*keys, "expert"]).join(cells, [*keys, token, "expert"], "left").join(rows, [*keys, token], "left")
+    prior = marginal(slot_counts(train, keys, n_experts, "times"), keys, smoothing=1.0).withColumnRenamed("p", "prior")
+    counts_ = train.select(*keys, token, "expert", F.col("times").alias("n"))
+    rows = train.groupBy(*keys, token).agg(F.sum("times").alias("row_n"))
+    out = true.join(prior, [*keys, "expert"]).join(counts_, [*keys, token, "expert"], "left").join(rows, [*keys, token], "left")
     return out.withColumns({"n": F.coalesce("n", F.lit(0)), "row_n": F.coalesce("row_n", F.lit(0))})
 
 
-def _reference(slots: DataFrame, keys: Sequence[str], n_experts: int) -> DataFrame:
-    return marginal(slot_counts(slots, keys, n_experts), keys).withColumnRenamed("p", "reference")
+def _reference(true: DataFrame, keys: Sequence[str], n_experts: int) -> DataFrame:
+    return marginal(slot_counts(true, keys, n_experts, "times"), keys).withColumnRenamed("p", "reference")
 
 
 def f0(train: DataFrame, test: DataFrame, keys: Sequence[str], n_experts: int) -> DataFrame:
-    """``*keys, n_slots, cross_entropy_bits`` of the smoothed train marginal on test."""
-    q = marginal(slot_counts(train, keys, n_experts), keys, smoothing=1.0).withColumnRenamed("p", "q")
-    true = test.groupBy(*keys, "expert").agg(F.count("*").alias("times"))
+    """``*keys, n_slots, cross_entropy_bits`` of the smoothed train marginal on test cells."""
+    q = marginal(slot_counts(train, keys, n_experts, "times"), keys, smoothing=1.0).withColumnRenamed("p", "q")
+    true = test.groupBy(*keys, "expert").agg(F.sum("times").alias("times"))
     rows = true.join(q, [*keys, "expert"]).join(_reference(test, keys, n_experts), [*keys, "expert"])
     return _weighted(rows, keys)
 
@@ -73,7 +76,7 @@ def best_alpha(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def f1(train: DataFrame, test: DataFrame, alpha: DataFrame, keys: Sequence[str], n_experts: int, top_k: int, token: str = "token_id") -> DataFrame:
-    """True slots of test with ``q`` and ``reference``, ``times`` each, for ``_weighted`` or strata."""
+    """Cells of test with ``q`` and ``reference``, ``times`` each, for ``_weighted`` or strata."""
     rows = _scored(test, train, keys, n_experts, token).join(_reference(test, keys, n_experts), [*keys, "expert"])
     return rows.join(F.broadcast(alpha), list(keys)).withColumn("q", _probability(F.col("alpha"), top_k))
 
@@ -94,4 +97,4 @@ def strata(rows: DataFrame, buckets: DataFrame, keys: Sequence[str], token: str
     return _weighted(joined, [*keys, "bucket"])
 
 
-__all__ = ["ALPHAS", "alpha_grid", "best_alpha", "count_table", "cross_entropy", "f0", "f1", "f1_cross_entropy", "frequency_buckets", "strata"]
+__all__ = ["ALPHAS", "alpha_grid", "best_alpha", "cells", "count_table", "f0", "f1", "f1_cross_entropy", "frequency_buckets", "strata"]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import Refused, refuse_if_any
@@ -22,19 +22,16 @@ EPSILON = 1e-6
 CORRECTION_WARNING = 0.01
 
 
-def expert_spine(spark: SparkSession, n_experts: int) -> DataFrame:
-    """All expert ids: n_experts rows."""
-    return spark.range(n_experts).select(F.col("id").cast("int").alias("expert"))
-
-
-def slot_counts(slots: DataFrame, keys: Sequence[str], n_experts: int) -> DataFrame:
-    """``*keys, expert, n`` with a row for every expert, zero included. An expert outside the range is
-    refused."""
-    refuse_if_any(slots.where((F.col("expert") < 0) | (F.col("expert") >= n_experts)).select("expert"), "expert out of range")
-    counted = slots.groupBy(*keys, "expert").agg(F.count("*").alias("n"))
-    # The spine has one row per group and expert, both small beside the slots.
-    spine = counted.select(*keys).distinct().crossJoin(F.broadcast(expert_spine(slots.sparkSession, n_experts)))
-    return spine.join(counted, [*keys, "expert"], "left").select(*keys, "expert", F.coalesce("n", F.lit(0)).alias("n"))
+def slot_counts(slots: DataFrame, keys: Sequence[str], n_experts: int, weight: str | None = None) -> DataFrame:
+    """``*keys, expert, n`` with a row for every expert, zero included. ``weight`` names a column that says
+    how often a row counts. An expert outside the range fails the query when it runs, in the same pass."""
+    checked = F.when((F.col("expert") >= 0) & (F.col("expert") < n_experts), F.col("expert")).otherwise(F.raise_error(F.lit("expert out of range")).cast("int"))
+    n = F.sum(weight) if weight else F.count("*")
+    counted = slots.select(*keys, checked.alias("expert"), *([weight] if weight else [])).groupBy(*keys, "expert").agg(n.alias("n"))
+    # All experts of a group from the map of its counts: the group is read once.
+    grouped = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("expert", "n"))).alias("_n"))
+    experts = F.explode(F.sequence(F.lit(0), F.lit(n_experts - 1))).alias("expert")
+    return grouped.select(*keys, "_n", experts).select(*keys, "expert", F.coalesce(F.try_element_at("_n", F.col("expert")), F.lit(0)).cast("long").alias("n"))
 
 
 def marginal(counts: DataFrame, keys: Sequence[str], smoothing: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import counts, information, predictive, validation
 from ..operators.checks import rounded
+from ..operators.tables import kept
 from .views import N_EXPERTS, N_LAYERS, TOP_K, frame, with_views
 
 LAYER = ["layer"]
@@ -148,12 +149,14 @@ SPLIT_GAPS_SQL = with_views(
 
 
 def _splits(spark, d):
-    return _slots(spark, d, "train"), _slots(spark, d, "val"), _slots(spark, d, "test")
+    """Cells of each split, from one checkpointed pass over the slots."""
+    slots = frame(spark, d, "slots").join(frame(spark, d, "doc_splits"), "doc_id")
+    all_ = kept(counts.cells(slots, ["split", *LAYER]))
+    return tuple(all_.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
 
 
-def _mi(spark, d, ce: DataFrame) -> DataFrame:
-    test = information.slot_counts(_slots(spark, d, "test"), LAYER, N_EXPERTS)
-    h = information.entropy(test, LAYER)
+def _mi(test: DataFrame, ce: DataFrame) -> DataFrame:
+    h = information.entropy(information.slot_counts(test, LAYER, N_EXPERTS, "times"), LAYER)
     m = information.mutual_information(h, ce, LAYER, N_EXPERTS)
     names = ("entropy_bits", "cross_entropy_bits", "mi_bits", "ratio", "ce_normalized", "entropy_normalized")
     # The bound's last digits are differences of near-equal sums; six places are compared.
@@ -162,7 +165,7 @@ def _mi(spark, d, ce: DataFrame) -> DataFrame:
 
 def f0_marginal_eval(spark, d):
     train, _, test = _splits(spark, d)
-    return _mi(spark, d, counts.f0(train, test, LAYER, N_EXPERTS))
+    return _mi(test, counts.f0(train, test, LAYER, N_EXPERTS))
 
 
 _SPLIT_CTES = f"""st AS (SELECT s.layer, s.doc_id, s.pos, s.token_id, s.expert, d.split FROM slots s JOIN doc_splits d USING (doc_id)),
@@ -187,7 +190,7 @@ F0_SQL = with_views(
 
 
 def f1_count_table(spark, d):
-    return counts.count_table(_slots(spark, d, "train"), LAYER)
+    return counts.count_table(counts.cells(_slots(spark, d, "train"), LAYER), LAYER)
 
 
 F1_COUNTS_SQL = with_views(
@@ -229,7 +232,7 @@ _BEST = "best AS (SELECT layer, arg_min(alpha, (ce, alpha)) AS alpha FROM g GROU
 def f1_eval(spark, d):
     train, val, test = _splits(spark, d)
     alpha = counts.best_alpha(counts.alpha_grid(train, val, LAYER, N_EXPERTS, TOP_K), LAYER)
-    return _mi(spark, d, counts.f1_cross_entropy(train, test, alpha, LAYER, N_EXPERTS, TOP_K))
+    return _mi(test, counts.f1_cross_entropy(train, test, alpha, LAYER, N_EXPERTS, TOP_K))
 
 
 F1_SQL = with_views(
