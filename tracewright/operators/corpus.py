@@ -80,18 +80,27 @@ def drop_report(rows: DataFrame) -> DataFrame:
     return spine.join(F.broadcast(counts), "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def first_kept(docs: DataFrame, text: str = "text", order: str = "doc_id", most_rounds: int = 100) -> DataFrame:
+def duplicate_keys(text: Column) -> Column:
+    """Keys under which a text can repeat an earlier one: its digest (``=...``) and its sketch's bands."""
+    return F.concat(F.array(F.concat(F.lit("="), F.md5(text))), T.bands(T.signature(text)))
+
+
+def first_kept(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """``order, reason`` of every document under the rule that the first of its kind is kept and a dropped
     document leaves no trace: ``duplicate_exact`` if a kept earlier document has the same digest,
-    ``duplicate_near`` if one shares a band, null if the document is kept.
+    ``duplicate_near`` if one shares a band, null if the document is kept."""
+    rows = docs.select(F.col(order).alias("at"), F.explode(duplicate_keys(F.col(text))).alias("key"))
+    return first_of_kind(rows).withColumnRenamed("at", order)
+
+
+def first_of_kind(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """``at, reason`` from rows ``(at, key)`` under the rule of ``first_kept``.
 
-    A fixpoint over (document, key) rows: a document that comes first among the undecided and kept under
-    all its keys is kept; one with a kept earlier document under any key is dropped. Only minima per key
-    are taken, never pairs, so a key shared by many documents costs one row per document and round.
+    A fixpoint: what comes first among the undecided under all its keys is kept; what shares a key with
+    something kept is dropped. Only minima per key are taken, never pairs, so a key that many documents
+    share costs one row per document and round.
     """
-    sketch = T.signature(F.col(text))
-    keys = F.concat(F.array(F.concat(F.lit("="), F.md5(F.col(text)))), T.bands(sketch))
-    rows = kept(docs.select(F.col(order).alias("at"), F.explode(keys).alias("key")))
+    rows = kept(rows)
     open_, done = rows, None
     for _ in range(most_rounds):
         first = open_.groupBy("key").agg(F.min("at").alias("first"))
@@ -109,9 +118,7 @@ def first_kept(docs: DataFrame, text: str = "text", order: str = "doc_id", most_
         open_ = kept(rest.join(hit, "at", "left_anti"))
         if open_.isEmpty():
             break
-    if done is None:
-        return rows.select(F.col("at").alias(order), F.lit(None).cast("string").alias("reason"))
-    return done.withColumnRenamed("at", order)
+    return rows.select("at", F.lit(None).cast("string").alias("reason")) if done is None else done
 
 
 def budget_fill(docs: DataFrame, budget: int, keys: Sequence[str] = ("source", "lang"), tokens: str = "n_tokens") -> DataFrame:

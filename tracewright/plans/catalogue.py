@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, probe_queries, report_queries, score_queries, trace_queries
+from . import corpus_queries, ledger_queries, probe_queries, report_queries, score_queries, trace_queries
 
-_MODULES = (trace_queries, score_queries, corpus_queries, report_queries, probe_queries)
+_MODULES = (trace_queries, score_queries, corpus_queries, report_queries, probe_queries, ledger_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
