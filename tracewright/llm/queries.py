@@ -75,6 +75,52 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_sorted_projections": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        ), good AS (
+            SELECT r, vec_id, e FROM v
+            WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+        ), links AS (
+            SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach AS (
+            SELECT r, r AS t FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t
+        ), least AS (
+            SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY reach.r
+        ), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN least ON least.r = v.r LEFT JOIN n ON n.a = v.r""",
+    "op8_setsketch_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), sh AS (
+            SELECT r, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w
+        ), u AS (
+            SELECT r, len(s) AS n, unnest(s) AS x FROM sh
+        ), pairs AS (
+            SELECT a.r AS a, b.r AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r
+        ), half AS (
+            SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (na + nb - shared)
+        ), links AS (
+            SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+        ), reach AS (
+            SELECT r, r AS t FROM w UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t
+        ), least AS (
+            SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.t GROUP BY reach.r
+        )
+        SELECT w.doc_id, CAST(len(sh.s) AS BIGINT) AS n_shingles, component_id, w.doc_id IS NOT DISTINCT FROM component_id AS kept
+        FROM w JOIN sh ON sh.r = w.r JOIN least ON least.r = w.r""",
+    "op10_kd_tree_top_k": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
+                   row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+            FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM s WHERE rank <= 5""",
     "op3_warc_chunks": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
