@@ -1,13 +1,12 @@
+import random
+
 import pytest
-from pyspark.sql import Row  # noqa: F401
 
 
 @pytest.fixture
 def docs(spark):
     """Rows that every operator on documents must take: nulls, empty and long texts, repeated rows,
     copies, and extra columns whose names an operator might use itself."""
-    import random
-
     rng = random.Random(7)
     words = ["the", "of", "house", "Grün", "été", "niño", "x1", "and,", "end."]
     text = lambda n: " ".join(rng.choice(words) + str(rng.randrange(60)) for _ in range(n))
