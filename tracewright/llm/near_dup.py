@@ -97,7 +97,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rounds: int = 24) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rounds: int = 14) -> np.ndarray:
     """Likeliest similarity of pairs of sets, from the numbers of registers in which one or the other
     is larger and from the sets' known sizes. Rows of ``a`` and ``b`` are sketches.
 
@@ -256,23 +256,26 @@ def near_duplicates(docs: DataFrame, folder: str, id_column: str = "doc_id", tex
         table = table.combine_chunks()
         root, block, n = (table.column(c).to_numpy() for c in ("root", "block", "n"))
         regs = _matrix(table.column("bands"))
-        bands = np.ascontiguousarray(regs).view(np.int64)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bands = regs.view(np.int64)
+        apart = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         band = table.column("bucket")[0].as_py() & 63
-        for a in range(len(root) - 1):
-            b = np.arange(a + 1, len(root))
-            b = b[(root[b] != root[a]) & (np.minimum(n[b], n[a]) * denominator >= np.maximum(n[b], n[a]) * numerator)]
-            if i != j:
-                b = b[block[b] != block[a]]
-            if not len(b):
-                continue
-            b = b[(regs[b] == regs[a]).sum(axis=1) >= (threshold - SLACK) * REGISTERS * 0.9]
-            if len(b):
-                b = b[(bands[b] == bands[a]).argmax(axis=1) == band]
-            if len(b):
-                j_hat = estimate(np.broadcast_to(regs[a], (len(b), REGISTERS)), regs[b], np.full(len(b), float(n[a])), n[b].astype(float))
-                for x in b[j_hat >= threshold - SLACK]:
-                    yield a, int(x)
+        for low in range(0, len(root), 32):
+            rows = np.arange(low, min(low + 32, len(root)))[:, None]
+            some = (np.arange(len(root)) > rows) & (root != root[rows])
+            some &= np.minimum(n, n[rows]) * denominator >= np.maximum(n, n[rows]) * numerator
+            if apart:
+                some &= block != block[rows]
+            first, second = np.nonzero(some)
+            first += low
+            for at in range(0, len(first), 8192):
+                a, b = first[at : at + 8192], second[at : at + 8192]
+                near = (regs[a] == regs[b]).sum(axis=1) >= (threshold - SLACK) * REGISTERS * 0.9
+                a, b = a[near], b[near]
+                near = (bands[a] == bands[b]).argmax(axis=1) == band
+                a, b = a[near], b[near]
+                if len(a):
+                    near = estimate(regs[a], regs[b], n[a].astype(float), n[b].astype(float)) >= threshold - SLACK
+                    yield from zip(a[near].tolist(), b[near].tolist())
 
     def active(table: pa.Table) -> pa.Table:
         at = sorted({x for pair in plausible(table) for x in pair})
