@@ -146,6 +146,10 @@ def verdict_counts(spark, d):
     return reports.verdict_histogram(reports.ladder(_grid(spark, d, "mi_ratio")).select("verdict").unionByName(reports.depth_shape(_grid(spark, d, "mi_ratio").where("feature = 'F1'")).select("verdict")))
 
 
+VERDICT_SQL = f"""SELECT v.verdict, count(s.verdict) AS n FROM (SELECT unnest(['agrees', 'mixed', 'disagrees', 'not_evaluable']) AS verdict) v
+  LEFT JOIN (SELECT verdict FROM ({SHAPE_LADDER_SQL}) UNION ALL SELECT verdict FROM ({SHAPE_DEPTH_SQL})) s ON s.verdict = v.verdict GROUP BY v.verdict"""
+
+
 def reconcile_nearest_depth(spark, d):
     points = frame(spark, d, "cells").where("feature = 'F3' AND status = 'ok'").select("model", "layer", "repetition").join(frame(spark, d, "panel"), "model")
     r = reports.nearest_depth(reports.figures(spark), points)
@@ -219,6 +223,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "primary_mean": PRIMARY_MEAN_SQL, "primary_per_layer": PER_LAYER_SQL, "primary_wide": WIDE_SQL, "primary_depth_bins": DEPTH_SQL, "negative_mi_cells": NEGATIVE_SQL,
-    "negative_mi_summary": NEGATIVE_SUMMARY_SQL, "pair_table": PAIR_SQL, "confound_table": CONFOUND_SQL, "shape_ladder": SHAPE_LADDER_SQL, "shape_depth": SHAPE_DEPTH_SQL,
+    "negative_mi_summary": NEGATIVE_SUMMARY_SQL, "pair_table": PAIR_SQL, "confound_table": CONFOUND_SQL, "shape_ladder": SHAPE_LADDER_SQL, "shape_depth": SHAPE_DEPTH_SQL, "verdict_counts": VERDICT_SQL,
     "reconcile_nearest_depth": RECONCILE_SQL, "cache_budget": CACHE_SQL, "run_config_conflicts": CONFLICTS_SQL, "overhead_ratio": OVERHEAD_SQL, "gate_q1": GATE_SQL,
 }
