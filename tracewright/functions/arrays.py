@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def ranked(scores: Column) -> Column:
     """All expert ids by score, the highest first; equal scores by the smaller id."""
     pairs = F.transform(scores, lambda s, i: F.struct((-s).alias("minus"), i.alias("expert")))
-    return F.transform(F.array_sort(pairs), lambda p: p["expert"])
+    return F.transform(F.sort_array(pairs), lambda p: p["expert"])
 
 
 def top_m(scores: Column, m: int) -> Column:
@@ -27,7 +27,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def same_set(a: Column, b: Column) -> Column:
     """Equal as sets: order does not count."""
-    return F.array_sort(a) == F.array_sort(b)
+    return F.sort_array(a) == F.sort_array(b)
 
 
 def same_sequence(a: Column, b: Column) -> Column:
@@ -47,7 +47,7 @@ def multi_hot(experts: Column, n_experts: int) -> Column:
 
 def margin(scores: Column, k: int) -> Column:
     """k-th minus (k+1)-th highest score; null if there is no (k+1)-th."""
-    down = F.reverse(F.array_sort(scores))
+    down = F.reverse(F.sort_array(scores))
     return F.get(down, F.lit(k - 1)) - F.get(down, F.lit(k))
 
 

@@ -130,7 +130,7 @@ def signature(text: Column, digest=F.md5) -> Column:
     windows = lambda q: F.transform(F.sequence(F.lit(1), F.length(q) - SHINGLE_CHARS + 1), lambda i: F.substring(q, i, SHINGLE_CHARS))
     by_char = lambda q: F.when(F.length(q) < 2 * SHINGLE_CHARS, F.array(q)).otherwise(windows(q))
     units = let(words, lambda w: F.when(is_unspaced(low) | (F.size(w) < SHINGLE_WORDS), let(squeezed, by_char)).otherwise(by_word(w)))
-    return F.slice(F.array_sort(F.transform(F.array_distinct(units), lambda u: digest(u))), 1, SKETCH)
+    return F.slice(F.sort_array(F.transform(F.array_distinct(units), lambda u: digest(u))), 1, SKETCH)
 
 
 def bands(sketch: Column) -> Column:

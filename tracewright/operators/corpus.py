@@ -215,7 +215,7 @@ def shard_table(docs: DataFrame) -> DataFrame:
     """``shard_id, n_docs, n_tokens, domains`` (tokens by domain); a document without shard is refused."""
     refuse_if_any(docs.where("shard_id IS NULL").select("doc_id"), "no shard")
     by = docs.groupBy("shard_id", "domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", "tokens"))))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "tokens"))))
     return by.groupBy("shard_id").agg(F.sum("n").alias("n_docs"), F.sum("tokens").alias("n_tokens"), entries.alias("domains"))
 
 

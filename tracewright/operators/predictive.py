@@ -33,7 +33,9 @@ def repetition(slots: DataFrame, k: int, n_experts: int, keys: Sequence[str] = (
     share, the share of equal sets, and the chance level k / n_experts. The expert sets are matched by
     a lag over the document's positions, one row per slot and predecessor.
     """
-    sets = slots.groupBy(*keys, "doc_id", "pos").agg(F.array_sort(F.collect_list("expert")).alias("experts"))
+    # Dealt by document at once: the grouping and the lag below both find their rows together.
+    slots = slots.select(*keys, "doc_id", "pos", "expert").repartition(*keys, "doc_id")
+    sets = slots.groupBy(*keys, "doc_id", "pos").agg(F.sort_array(F.collect_list("expert")).alias("experts"))
     w = Window.partitionBy(*keys, "doc_id").orderBy("pos")
     pairs = sets.withColumns({"before": F.lag("experts").over(w), "pos_before": F.lag("pos").over(w)})
     has = F.coalesce(F.col("pos_before") == F.col("pos") - 1, F.lit(False))

@@ -67,7 +67,7 @@ def grid(panel: DataFrame, cells: DataFrame, metric: Column, features: Sequence[
 def primary_mean(g: DataFrame) -> DataFrame:
     """Mean over the layers that have a value, with how many were used of how many expected and the
     kinds of the holes; no value at all is ``no_layers``."""
-    out = g.groupBy("model", "feature").agg(F.avg("value").alias("value"), F.count("value").alias("n_used"), F.count("*").alias("n_expected"), F.array_join(F.array_sort(F.collect_set("missing")), ",").alias("holes"))
+    out = g.groupBy("model", "feature").agg(F.avg("value").alias("value"), F.count("value").alias("n_used"), F.count("*").alias("n_expected"), F.array_join(F.sort_array(F.collect_set("missing")), ",").alias("holes"))
     return out.withColumn("missing", F.when(F.col("n_used") == 0, "no_layers"))
 
 

@@ -12,7 +12,7 @@ from .views import N_EXPERTS, N_SCORES, SCORE_K, frame
 
 def _sets(spark, d):
     s = frame(spark, d, "slots").where("doc_id % 4 = 0")
-    s = s.groupBy("doc_id", "pos", "token_id", "layer").agg(F.array_sort(F.collect_list("expert")).alias("experts"))
+    s = s.groupBy("doc_id", "pos", "token_id", "layer").agg(F.sort_array(F.collect_list("expert")).alias("experts"))
     return s.join(frame(spark, d, "doc_splits"), "doc_id")
 
 

@@ -323,7 +323,7 @@ STRIDE_SQL = with_views(
 
 
 def label_range_distinct(spark, d):
-    sets = frame(spark, d, "slots").groupBy("doc_id", "pos", "layer").agg(F.array_sort(F.collect_list("expert")).alias("experts"))
+    sets = frame(spark, d, "slots").groupBy("doc_id", "pos", "layer").agg(F.sort_array(F.collect_list("expert")).alias("experts"))
     return validation.labels(sets, N_EXPERTS, TOP_K)
 
 
