@@ -26,6 +26,12 @@ NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027]")
 SIGN_STOP = re.compile(r"[^\w\s][.,]")
 
 
+def _plain(text: str) -> bool:
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return NOT_PLAIN.search(text) is None
+
+
 def split_chunks(text: str) -> list[str]:
     """The maximal runs of a text without Unicode white space.
 
@@ -33,7 +39,7 @@ def split_chunks(text: str) -> list[str]:
     they are lower-cased and a last full stop or comma stands alone, which leaves the ids as they
     are and makes the distinct chunks far fewer.
     """
-    if "<|" not in text and "_" not in text and NOT_PLAIN.search(text) is None and SIGN_STOP.search(text) is None:
+    if "<|" not in text and "_" not in text and _plain(text) and SIGN_STOP.search(text) is None:
         text = f"{text} ".lower()
         return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ").split()
     if NOT_SPACE.search(text) is None:
@@ -49,7 +55,7 @@ class ChunkTable(dict):
     the last such time stay, and none if they are over half. That costs time and changes no result.
     """
 
-    def __init__(self, encode, limit: int = 1_000_000, top: int = (1 << 32) - 1):
+    def __init__(self, encode, limit: int = 600_000, top: int = (1 << 32) - 1):
         super().__init__()
         self.encode, self.limit, self.top = encode, limit, top
         self._reset()
