@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.checks import Refused
-from ..operators.validation import INVARIANT, on_stride  # noqa: F401  the stride rule that the writer follows
+from ..operators.validation import INVARIANT
 
 #: Files, element types and the token record of the layout.
 FILES = {"tokens": "tokens.bin", "topk": "topk.bin", "logits": "logits.bin", "hidden": "hidden.bin", "hidden_index": "hidden_index.bin"}
