@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable
+from .shared import small_batches
 
 #: Parts up to which a pre-token is scanned.
 SCANNED = 128
@@ -162,6 +163,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         own = codec(vocabulary)
         numerals = [str(i) for i in range(own.table.top + 1)]

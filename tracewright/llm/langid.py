@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Answer for a text without a letter.
 UNDETERMINED = "und"
 BITS = 16
@@ -129,7 +131,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     The sample is the only part that is bounded; each of its texts counts whole. Counts of (language,
     bucket) are summed by Spark and only their matrix reaches the driver.
     """
-    spark = labelled.sparkSession
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     languages = sorted(sizes)
@@ -168,6 +170,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
 def predictor(spark, model: Model):
     """A column function: text -> struct(lang_pred, score). The model is broadcast; its size is the
     number of languages times 2**16 buckets of 4 bytes."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 

@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the bytes of a batch between the JVM and Python workers for the session, where they have
+    Spark's default: 64 MB of texts would be held on both sides by every task. A value that the user has
+    chosen stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(most))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``, removed when the driver's JVM ends.
 
     The folder is the one that driver and executors share. Where the setting is absent (tests,
     notebooks) a local temporary folder is made and recorded in the session's setting.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tracewright-")

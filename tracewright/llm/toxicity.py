@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
@@ -125,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str =
     expect, that the squared excess is ``surprise`` times the expected number; of more than
     ``most_features``, the most frequent stay. Without positives the model's score is 0 for all.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(may_learn).select(F.col(id_column).alias("id"), F.col(label_column).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     n_marks, n_toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0))).first()
     own = docs.where(may_learn).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -202,6 +205,7 @@ def _selected(counts: DataFrame, ratio: Column, most: int):
 
 def scorer(spark, model: Model):
     """A column function: text -> score. The model, at most 4096 features, is broadcast."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
