@@ -55,7 +55,7 @@ class ChunkTable(dict):
     the last such time stay, and none if they are over half. That costs time and changes no result.
     """
 
-    def __init__(self, encode, limit: int = 600_000, top: int = (1 << 32) - 1):
+    def __init__(self, encode, limit: int = 400_000, top: int = (1 << 32) - 1):
         super().__init__()
         self.encode, self.limit, self.top = encode, limit, top
         self._reset()
