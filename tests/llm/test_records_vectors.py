@@ -109,6 +109,32 @@ def test_links_of_clusters(spark, monkeypatch):
     check_links(projection.components(vectors(spark, rows).repartition(3), work_dir(spark), window=16).collect(), rows)
 
 
+def test_links_in_a_crowded_cone_that_no_window_shows(spark, monkeypatch):
+    monkeypatch.setattr(projection, "BLOCK", 128, raising=False)
+    monkeypatch.setattr(projection, "CELL", 32, raising=False)
+    rng = np.random.default_rng(5)
+    away = lambda v: (lambda r: r - (r @ v) * v)(rng.standard_normal(64))
+    scaled = lambda v: v / np.sqrt(v @ v)
+    axis = scaled(rng.standard_normal(64))
+    # A third lies in a cone, any two at a cosine of about 0.9; 20 pairs in it at about 0.955.
+    cone = [scaled(np.sqrt(0.9) * axis + np.sqrt(0.1) * scaled(away(axis))) for _ in range(380)]
+    pairs = [scaled(0.955 * v + np.sqrt(1 - 0.955**2) * scaled(away(v))) for v in cone[:20]]
+    rows = [(i, scaled(v).tolist(), 0) for i, v in enumerate([*cone, *pairs, *rng.standard_normal((800, 64))])]
+    found = projection.components(vectors(spark, rows, "double").repartition(3), work_dir(spark), passes=2, window=8).collect()
+    assert sum(r.n_links > 0 for r in found) >= 40
+    check_links(found, rows)
+
+
+def test_cells_are_left_out_only_if_no_pair_can_be_linked():
+    rng = np.random.default_rng(6)
+    units = projection.unit(np.concatenate([c + 0.15 * rng.standard_normal((20, 12)) for c in rng.standard_normal((30, 12))]))
+    balls = [projection.ball(units[k : k + 20]) for k in range(0, 600, 20)]
+    centres, radii = np.array([c for c, _ in balls]), np.array([r for _, r in balls])
+    able = projection.near(centres, radii, centres, radii, 0.95)
+    linked = (units @ units.T >= 0.95).reshape(30, 20, 30, 20).any(axis=(1, 3))
+    assert not able.all() and not (linked & ~able).any()
+
+
 def test_links_of_awkward_vectors(spark):
     rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (None, [1.0, 2.001], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [1.0, None], 0), (7, [float("nan"), 1.0], 0), (8, [float("inf"), 1.0], 0), (9, [1.0, 2.0, 0.0], 0), (10, [1e-300, 2e-300], 0), (None, [5.0, -1.0], 0), (11, [-0.0, 3.0], 0), (12, [0.0, 3.0], 0)]
     check_links(projection.components(vectors(spark, rows, "double"), work_dir(spark)).collect(), rows)

@@ -2,25 +2,34 @@
 
 In each pass the vectors are ordered lexicographically by a string of random hashes, the sides of
 random hyperplanes through the vectors' mean, and each is compared with the next WINDOW in that order.
-Pairs that pass the exact test are united, over all passes. The windows are no limit on the result:
-inside each component that the passes found, all pairs are compared afterwards in tiles of bounded
-size, so the links of a vector are counted in full however large its group is.
+Pairs that pass the exact test are united, over all passes. Neither windows nor passes are a limit on
+the result. Afterwards the vectors are cut into blocks of cells, each with a centre and a radius; two
+cells are left out only if the triangle inequality proves that no pair between them can be linked, and
+all others are compared, which finds every link between components. Then all pairs inside a component
+are compared in tiles of bounded size, so the links of a vector are counted in full however large its
+group is.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, open_fs, written
 from .vectors import as_rows, finite, matrix
 
 #: Passes that are sorted in one job: what bounds the disk that the shuffles take.
 AT_ONCE = 4
 TILE = 512
+#: Rows of a block, which a task holds two of, and of a cell, which has a centre and a radius.
+BLOCK, CELL = 4096, 256
+#: What rounding can add to a distance between unit vectors, with room to spare.
+SLACK = 1e-6
 
 
 def hyperplanes(dim: int, one_pass: int) -> np.ndarray:
@@ -52,6 +61,119 @@ def groups(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def ball(units: np.ndarray) -> tuple[np.ndarray, float]:
+    """The centre of some rows and the largest distance from it."""
+    centre = units.mean(axis=0)
+    return centre, float(np.sqrt(((units - centre) ** 2).sum(axis=1).max()))
+
+
+def near(centre: np.ndarray, radius: np.ndarray, centres: np.ndarray, radii: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of balls can hold two unit vectors with a cosine of at least ``threshold``: those lie
+    within sqrt(2 - 2 * threshold) of each other."""
+    squares = (centre * centre).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * centre @ centres.T
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    return np.sqrt(np.maximum(squares, 0)) <= radius[:, None] + radii[None, :] + reach
+
+
+def bridges(rows: DataFrame, means: dict[int, np.ndarray], folder: str, threshold: float) -> DataFrame:
+    """``a, b``: the roots of each two components that a link joins, from ``rows(dim, node, root, v)``.
+
+    Exact. Blocks are files in the shared folder, listed in a table that only finished tasks write to; a
+    task reads that table and compares its blocks with half of the others round the circle, so that
+    every two blocks meet once and all tasks have the same work. Nothing is shuffled but the rows, once.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def hashed(batches):
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim, at in _by_dim(dims):
+                some = batch.take(pa.array(at))
+                key = keys(unit(matrix(some.column(3), dim)), means[dim], 0)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(key), *(some.column(k) for k in (1, 2, 3))], names=["dim", "key", "node", "root", "v"])
+
+    def block(held: pa.Table, dim: int) -> pa.RecordBatch:
+        held = held.combine_chunks()
+        centre, radius = ball(unit(matrix(held.column("v").combine_chunks(), dim)))
+        fs, path = open_fs(f"{folder}/blocks/{uuid.uuid4().hex}")
+        with fs.open_output_stream(path) as out, pa.ipc.new_file(out, held.schema) as file:
+            file.write_table(held)
+        return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "name": [path.rsplit("/", 1)[1]], "centre": [centre.tolist()], "radius": [radius]})
+
+    def cut(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch]).select(["dim", "root", "v"])
+            held = now if held is None else pa.concat_tables([held, now])
+            while held.num_rows:
+                dims = held.column("dim").to_numpy()
+                n = int(np.searchsorted(dims, dims[0], side="right"))
+                if n < BLOCK and n == held.num_rows:
+                    break
+                n = min(n, BLOCK)
+                yield block(held.slice(0, n).select(["root", "v"]), int(dims[0]))
+                held = held.slice(n)
+        if held is not None and held.num_rows:
+            yield block(held.select(["root", "v"]), int(held.column("dim")[0].as_py()))
+
+    order = ["dim", "key", "node"]
+    kind = dict(rows.dtypes)["v"]
+    ordered = rows.mapInArrow(hashed, f"dim int, key long, node long, root long, v {kind}").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/blocks").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/blocks"))
+    listed = written(ordered.mapInArrow(cut, "dim int, name string, centre array<double>, radius double"), folder, "blocks-listed")
+
+    def read(name: str, dim: int):
+        fs, path = open_fs(f"{folder}/blocks/{name}")
+        with fs.open_input_file(path) as file:
+            held = pa.ipc.open_file(file).read_all().combine_chunks()
+        units = unit(matrix(held.column("v").combine_chunks(), dim))
+        cells = [ball(units[at : at + CELL]) for at in range(0, len(units), CELL)]
+        return held.column("root").to_numpy(), units, np.array([c for c, _ in cells]), np.array([r for _, r in cells])
+
+    def compare(batches):
+        import pyarrow.parquet as pq
+
+        fs, path = open_fs(f"{folder}/blocks-listed")
+        every = pq.read_table(path, filesystem=fs)
+        every = every.take(pa.array(np.lexsort((every.column("name").to_numpy(zero_copy_only=False), every.column("dim").to_numpy()))))
+        names, dims = every.column("name").to_pylist(), every.column("dim").to_numpy()
+        place = {name: k for k, name in enumerate(names)}
+        balls = {}
+        for dim, at in _by_dim(dims):
+            of = every.take(pa.array(at))
+            balls[dim] = int(at[0]), matrix(of.column("centre").combine_chunks(), dim), of.column("radius").to_numpy()
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                dim = int(dims[place[name]])
+                start, centres, radii = balls[dim]
+                own, n = place[name] - start, len(radii)
+                roots, units, cells, far = read(name, dim)
+                able = near(centres[own : own + 1], radii[own : own + 1], centres, radii, threshold)[0]
+                for step in range(n // 2 + 1):
+                    other = (own + step) % n
+                    if not able[other] or (step and 2 * step == n and own >= other):
+                        continue
+                    roots2, units2, cells2, far2 = read(names[start + other], dim) if step else (roots, units, cells, far)
+                    found = []
+                    for k, row in enumerate(near(cells, far, cells2, far2, threshold)):
+                        at = np.flatnonzero(np.repeat(row, CELL)[: len(units2)])
+                        if not len(at):
+                            continue
+                        mine = slice(k * CELL, (k + 1) * CELL)
+                        i, j = np.nonzero(units[mine] @ units2[at].T >= threshold)
+                        a, b = roots[mine][i], roots2[at[j]]
+                        apart = a != b
+                        if apart.any():
+                            found.append(np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0))
+                    if found:
+                        found = np.unique(np.concatenate(found), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    dealt = listed.select("name").repartition(max(parts, spark.sparkContext.defaultParallelism), "name")
+    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), folder, "bridges")
+
+
 def _by_dim(dims: np.ndarray):
     for dim in np.unique(dims):
         yield int(dim), np.flatnonzero(dims == dim)
@@ -69,8 +191,9 @@ def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_colu
 
     Equal vectors are one class with a weight, so copies are never compared. A pair at the threshold
     of 0.95 agrees in a hash with probability 0.90 and meets within the window in one pass if it
-    agrees in about log2(rows / window) of them; 24 passes miss it with a probability of 4e-5 for
-    fifty thousand spread-out vectors. More rows need more passes: ``passes`` is the parameter.
+    agrees in about log2(rows / window) of them. What ``passes`` and ``window`` miss is found by
+    ``bridges``, which is exact: they change the time, not the result. Where the vectors are so spread
+    out that no two cells can be told apart, that step compares all pairs of classes.
     """
     own = as_rows(vectors, id_column, vector_column)
     single = dict(own.dtypes)["v"] == "array<float>"
@@ -149,6 +272,10 @@ def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_colu
         links = found if links is None else links.unionByName(found)
 
     label = connected_components(links, folder, "passes")
+    rooted = points.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("dim", "node", F.coalesce("root", "node").alias("root"), "v")
+    missed = bridges(rooted, means, folder, threshold)
+    if not missed.isEmpty():
+        label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed), folder, "joined")
     sizes = label.groupBy("root").count().withColumnRenamed("root", "of")
     # Small components share a task's group; the tiles of a large one meet pair by pair.
     placed = label.join(written(sizes, folder, "sizes"), F.col("root") == F.col("of"))
