@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import checks, drift, probes, reports, validation
+from tracewright.plans import probe_queries
+from tracewright.plans.views import frame
 from tracewright.sources import documents, traces
 from tracewright.streaming import ingest
 
@@ -115,6 +117,19 @@ def test_network_beats_linear_on_a_product(spark):
     assert again.cross_entropy_bits == pytest.approx(network.cross_entropy_bits)
 
 
+@pytest.mark.parametrize("name, known", [("probe_linear_f2", "layer >= 1"), ("probe_linear_f3", "pos >= 1"), ("probe_f6", "layer >= 1 AND pos >= 1")])
+def test_probe_queries_take_every_row_of_the_trace(spark, monkeypatch, name, known):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(probes, "evaluate", lambda rows, *_, **__: rows)
+    monkeypatch.setattr(probe_queries, "_shown", lambda rows: rows)
+    rows = frame(spark, d, "routed").join(frame(spark, d, "doc_splits"), "doc_id")
+    expect = rows.where(known)
+    seen = rows.where("split = 'train'").select("layer", "token_id").distinct()
+    expect = expect.join(seen, ["layer", "token_id"], "left_semi") if name == "probe_f6" else expect
+    by_split = lambda f: sorted((r.layer, r.split, r["count"]) for r in f.groupBy("layer", "split").count().collect())
+    assert by_split(probe_queries.QUERIES[name](spark, d)) == by_split(expect)
+
+
 def cell(layer, h, ce, **more):
     b = {"entropy_bits": h, "cross_entropy_bits": ce, "mi_bits": h - ce}
     return {"layer": layer, "model_layer": layer + 1, "status": "ok", "metrics": {"split": "test", "n_rows": 5, "n_slots": 10, "family_a": {"recall@8": 0.5}, "family_b": b | more}}

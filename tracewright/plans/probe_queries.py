@@ -11,7 +11,7 @@ from .views import N_EXPERTS, N_SCORES, SCORE_K, frame
 
 
 def _sets(spark, d):
-    s = frame(spark, d, "slots").where("doc_id % 4 = 0")
+    s = frame(spark, d, "slots")
     s = s.groupBy("doc_id", "pos", "token_id", "layer").agg(F.sort_array(F.collect_list("expert")).alias("experts"))
     return s.join(frame(spark, d, "doc_splits"), "doc_id")
 
@@ -32,8 +32,9 @@ def probe_f6(spark, d):
     """Three blocks: log probabilities of the token's train counts, the set below, the set before."""
     s = _sets(spark, d)
     train = s.where("split = 'train'").select("layer", "token_id", F.explode("experts").alias("expert"))
-    cells = train.groupBy("layer", "token_id").agg(F.collect_list("expert").alias("seen"))
-    logp = F.transform(F.sequence(F.lit(0), F.lit(N_EXPERTS - 1)), lambda e: F.log((F.size(F.filter("seen", lambda x: x == e)) + 1) / (F.size("seen") + N_EXPERTS)))
+    seen = train.groupBy("layer", "token_id", "expert").agg(F.count("*").alias("n"))
+    cells = seen.groupBy("layer", "token_id").agg(F.map_from_entries(F.collect_list(F.struct("expert", "n"))).alias("seen"), F.sum("n").alias("total"))
+    logp = F.transform(F.sequence(F.lit(0), F.lit(N_EXPERTS - 1)), lambda e: F.log((F.coalesce(F.element_at("seen", e), F.lit(0)) + 1) / (F.col("total") + N_EXPERTS)))
     table = cells.select("layer", "token_id", logp.alias("f1"))
     below = probes.beside(s, "layer", N_EXPERTS).select("doc_id", "pos", "layer", F.col("features").alias("below"))
     rows = probes.beside(s, "pos", N_EXPERTS).join(below, ["doc_id", "pos", "layer"]).join(s.select("doc_id", "pos", "layer", "token_id"), ["doc_id", "pos", "layer"]).join(table, ["layer", "token_id"])
