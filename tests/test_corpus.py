@@ -156,3 +156,17 @@ def test_ladder_and_shares(spark):
     assert rows[4].worst_bytes == 60_000 * 512 and [r.step for r in rows.values() if r.recommended] == [4]
     with pytest.raises(Refused):
         corpus.byte_ladder(spark, shards.limit(0), 64, 2048, 16, 8, 50_000, 1)
+
+
+def test_a_long_chain_is_settled_to_its_end(spark):
+    # Document i shares a key with i - 1 and i + 1 alone, so every other one is kept.
+    rows = spark.createDataFrame([(i, f"b{k}") for i in range(300) for k in (i, i + 1)], "at long, key string")
+    found = sorted((r.at, r.reason) for r in corpus.first_of_kind(rows, most_rounds=3).collect())
+    assert found == [(i, "duplicate_near" if i % 2 else None) for i in range(300)]
+
+
+def test_rounds_go_on_while_the_rest_is_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "FEW_ROWS", 0, raising=False)
+    rows = spark.createDataFrame([(i, f"b{k}") for i in range(10) for k in (i, i + 1)], "at long, key string")
+    found = sorted((r.at, r.reason) for r in corpus.first_of_kind(rows, most_rounds=2).collect())
+    assert found == [(i, "duplicate_near" if i % 2 else None) for i in range(10)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,21 +94,52 @@ def first_kept(docs: DataFrame, text: str = "text", order: str = "doc_id") -> Da
     return first_of_kind(rows).withColumnRenamed("at", order)
 
 
+#: Undecided rows that one task settles in order, where a chain keeps the rounds going.
+FEW_ROWS = 1 << 18
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The rule of ``first_kept`` as it reads, over at most ``FEW_ROWS`` rows ``(at, key)`` in one task."""
+
+    def run(batches):
+        keys: dict = {}
+        for batch in batches:
+            if batch.isna().any(axis=None):
+                raise RuntimeError("an undecided document has a null id or key")
+            for at, key in zip(batch["at"].tolist(), batch["key"].tolist()):
+                keys.setdefault(at, set()).add(key)
+        held: set = set()
+        out = []
+        for at in sorted(keys):
+            hit = keys[at] & held
+            held |= set() if hit else keys[at]
+            out.append((at, ("duplicate_exact" if any(k.startswith("=") for k in hit) else "duplicate_near") if hit else None))
+        yield pd.DataFrame(out, columns=["at", "reason"])
+
+    return rows.select("at", "key").coalesce(1).mapInPandas(run, f"at {dict(rows.dtypes)['at']}, reason string")
+
+
 def first_of_kind(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``at, reason`` from rows ``(at, key)`` under the rule of ``first_kept``.
 
     A fixpoint: what comes first among the undecided under all its keys is kept; what shares a key with
     something kept is dropped. Only minima per key are taken, never pairs, so a key that many documents
-    share costs one row per document and round.
+    share costs one row per document and round. Each round settles at least the least document, and the
+    rounds go on until none is undecided. After ``most_rounds`` of them, which takes a chain of more than
+    that many links, a rest of few rows is settled in order by one task.
     """
     rows = kept(rows)
-    open_, done = rows, None
-    for _ in range(most_rounds):
+    open_, done, rounds = rows, None, 0
+    while not open_.isEmpty():
+        if rounds >= most_rounds and open_.count() <= FEW_ROWS:
+            rest = kept(in_order(open_))
+            return rest if done is None else done.unionByName(rest)
+        rounds += 1
         first = open_.groupBy("key").agg(F.min("at").alias("first"))
         state = open_.join(first, "key").groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("leads"))
         leaders = kept(state.where("leads").select("at"))
         if leaders.isEmpty():
-            break
+            raise RuntimeError("undecided documents are left that nothing leads: a null id or key")
         held = open_.join(leaders, "at", "left_semi").select("key").distinct()
         # Every key of a leader is led by it, so what else bears the key comes later and is dropped.
         rest = open_.join(leaders, "at", "left_anti")
@@ -116,8 +148,6 @@ def first_of_kind(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
         decided = leaders.select("at", F.lit(None).cast("string").alias("reason")).unionByName(hit)
         done = decided if done is None else done.unionByName(decided)
         open_ = kept(rest.join(hit, "at", "left_anti"))
-        if open_.isEmpty():
-            break
     return rows.select("at", F.lit(None).cast("string").alias("reason")) if done is None else done
 
 
