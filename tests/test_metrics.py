@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
 from tracewright.operators import checks, counts, information, predictive
+from tracewright.plans import score_queries
 
 
 def slots_of(spark, sets, layer=0):
@@ -120,3 +121,11 @@ def test_array_expressions(spark):
     assert math.isnan(r.nan) and r.one == pytest.approx(1.0) and not r.distinct and r.sum == pytest.approx(1.0)
     with pytest.raises(ValueError):
         arrays.top_m(F.col("a"), 0)
+
+
+def test_every_token_has_a_multi_hot_row(spark, monkeypatch):
+    order = [random.Random(t).sample(range(score_queries.N_SCORES), score_queries.N_SCORES) for t in range(25)]
+    rows = spark.createDataFrame([(t, [float(x) for x in o]) for t, o in enumerate(order)], "token long, scores array<double>")
+    monkeypatch.setattr(score_queries, "_scores", lambda *_: rows)
+    found = {r.token: r.hot for r in score_queries.multi_hot_rows(spark, "").collect()}
+    assert found == {t: "".join("1" if x >= score_queries.N_SCORES - score_queries.SCORE_K else "0" for x in o) for t, o in enumerate(order)}
