@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
 from tracewright.operators import checks, counts, information, predictive
-from tracewright.plans import score_queries
+from tracewright.plans import score_queries, trace_queries
 
 
 def slots_of(spark, sets, layer=0):
@@ -129,3 +129,18 @@ def test_every_token_has_a_multi_hot_row(spark, monkeypatch):
     monkeypatch.setattr(score_queries, "_scores", lambda *_: rows)
     found = {r.token: r.hot for r in score_queries.multi_hot_rows(spark, "").collect()}
     assert found == {t: "".join("1" if x >= score_queries.N_SCORES - score_queries.SCORE_K else "0" for x in o) for t, o in enumerate(order)}
+
+
+def test_an_expert_of_any_document_is_not_dead(spark, monkeypatch):
+    # In layer 2 expert e is selected by document e alone, expert 15 by none.
+    slots = spark.createDataFrame([(e, 0, e, layer, e) for layer in (0, 2) for e in range(15)], "doc_id long, pos int, token_id long, layer int, expert int")
+    monkeypatch.setattr(trace_queries, "_slots", lambda *_: slots)
+    assert sorted((r.layer, r.dead) for r in trace_queries.dead_saturated_experts(spark, "").collect()) == [(0, 1), (2, 1)]
+
+
+def test_strata_leave_unseen_tokens_apart_and_the_query_has_none(spark):
+    rows = spark.createDataFrame([(0, t, 0.5, 0.5, 1) for t in range(4)], "layer int, token_id long, q double, reference double, times long")
+    seen = spark.createDataFrame([(t,) for t in range(3) for _ in range(t + 1)], "token_id long")
+    found = {r.bucket: r.n_slots for r in counts.strata(rows, counts.frequency_buckets(seen, 3), ["layer"]).collect()}
+    assert found == {-1: 1, 0: 1, 1: 1, 2: 1}
+    assert {r.bucket for r in trace_queries.f1_frequency_strata(spark, "/root/testdata/sf0.001").collect()} == set(range(5))

@@ -122,7 +122,7 @@ LOAD_BALANCE_SQL = with_views(
 
 
 def dead_saturated_experts(spark, d):
-    c = information.slot_counts(_slots(spark, d).where("doc_id % 3 = 0 OR layer < 2"), LAYER, N_EXPERTS)
+    c = information.slot_counts(_slots(spark, d), LAYER, N_EXPERTS)
     return information.usage(c, LAYER, saturated=1.1)
 
 
@@ -247,8 +247,7 @@ def f1_frequency_strata(spark, d):
     train, val, test = _splits(spark, d)
     alpha = counts.best_alpha(counts.alpha_grid(train, val, LAYER, N_EXPERTS, TOP_K), LAYER)
     rows = counts.f1(train, test, alpha, LAYER, N_EXPERTS, TOP_K)
-    tokens = frame(spark, d, "tokens").where("token_id % 11 <> 0")
-    s = counts.strata(rows, counts.frequency_buckets(tokens, 5), LAYER)
+    s = counts.strata(rows, counts.frequency_buckets(frame(spark, d, "tokens"), 5), LAYER)
     return s.select("layer", F.col("bucket").cast("int").alias("bucket"), "n_slots", rounded(F.col("cross_entropy_bits"), 6).alias("cross_entropy_bits"))
 
 
