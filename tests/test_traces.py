@@ -130,6 +130,28 @@ def test_probe_queries_take_every_row_of_the_trace(spark, monkeypatch, name, kno
     assert by_split(probe_queries.QUERIES[name](spark, d)) == by_split(expect)
 
 
+def test_the_hidden_vector_comes_from_the_layer_below(spark):
+    rows = spark.createDataFrame([(d, 0, layer, "train", [layer]) for d in range(4) for layer in range(3)], "doc_id long, pos int, layer int, split string, experts array<int>")
+    hidden = spark.createDataFrame([(d, 0, layer, [10.0 * d + layer]) for d in (0, 2) for layer in range(3)], "doc_id long, pos int, layer int, features array<float>")
+    found = {(r.doc_id, r.layer): r.features for r in probes.below(rows, hidden).collect()}
+    assert found == {(d, layer): [10.0 * d + layer - 1] for d in (0, 2) for layer in (1, 2)}
+    counted = sorted(tuple(r) for r in probes.below_exclusions(rows, hidden, "F4").collect())
+    assert counted == [(0, "F4", 0, 4, "no layer below"), (1, "F4", 2, 2, "hidden vector not captured"), (2, "F4", 2, 2, "hidden vector not captured")]
+
+
+@pytest.mark.parametrize("name", ["probe_linear_f4", "probe_mlp_f5"])
+def test_f4_and_f5_are_not_fed_the_routers_own_input(spark, monkeypatch, name):
+    monkeypatch.setattr(probes, "evaluate", lambda rows, *_, **__: rows)
+    monkeypatch.setattr(probe_queries, "_shown", lambda rows: rows)
+    rows = probe_queries.QUERIES[name](spark, "/root/testdata/sf0.001").limit(40).collect()
+    assert rows and {r.layer for r in rows} == {1}
+    for r in rows:
+        x = np.array(r.features, float)
+        size = np.abs(x + np.roll(x, -1))
+        assert sorted(r.experts) == sorted(np.lexsort((np.arange(64), -size))[:8].tolist())
+        assert sorted(r.experts) != sorted(np.lexsort((np.arange(64), -x))[:8].tolist())
+
+
 def cell(layer, h, ce, **more):
     b = {"entropy_bits": h, "cross_entropy_bits": ce, "mi_bits": h - ce}
     return {"layer": layer, "model_layer": layer + 1, "status": "ok", "metrics": {"split": "test", "n_rows": 5, "n_slots": 10, "family_a": {"recall@8": 0.5}, "family_b": b | more}}

@@ -196,6 +196,23 @@ def beside(rows: DataFrame, on: str, n_experts: int) -> DataFrame:
     return rows.join(other, ["doc_id", "pos", "layer"]).select("doc_id", "pos", "layer", "split", key.alias("row_key"), F.col("features").cast("array<float>").alias("features"), "experts")
 
 
+def below(rows: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Rows of ``(doc_id, pos, layer, split, experts)`` with the captured vector of
+    ``hidden(doc_id, pos, layer, features)`` one layer below as features (F4, F5); rows without one are
+    left out and counted by ``below_exclusions``."""
+    lower = hidden.select("doc_id", "pos", (F.col("layer") + 1).alias("layer"), F.col("features").cast("array<float>").alias("features"))
+    return rows.join(lower, ["doc_id", "pos", "layer"]).select("doc_id", "pos", "layer", "split", F.xxhash64("doc_id", "pos").alias("row_key"), "features", "experts")
+
+
+def below_exclusions(rows: DataFrame, hidden: DataFrame, feature: str, first_layer: int = 0) -> DataFrame:
+    """``layer, feature, kept, excluded, reason`` of ``below``."""
+    lower = hidden.select("doc_id", "pos", (F.col("layer") + 1).alias("layer"), F.lit(True).alias("has"))
+    lost = F.col("has").isNull()
+    out = rows.join(lower, ["doc_id", "pos", "layer"], "left").groupBy("layer").agg(F.count_if(~lost).alias("kept"), F.count_if(lost).alias("excluded"))
+    reason = F.when(F.col("layer") == first_layer, "no layer below").otherwise("hidden vector not captured")
+    return out.select("layer", F.lit(feature).alias("feature"), "kept", "excluded", F.when(F.col("excluded") > 0, reason).alias("reason"))
+
+
 def joined(*blocks: Column) -> Column:
     """Feature blocks one after another."""
     return F.concat(*[b.cast("array<float>") for b in blocks])

@@ -54,9 +54,29 @@ def probe_fv(spark, d):
     return _shown(probes.evaluate(_hidden(spark, d), "linear", N_SCORES, dense=True))
 
 
+def _two_layers(spark, d):
+    """The trace of ``_hidden`` and a layer above it, whose hidden vector holds the sizes of the sums of
+    neighbours in the one below: rows to predict, and all hidden vectors."""
+    low = _hidden(spark, d).select(F.col("row_key").alias("doc_id"), F.lit(0).alias("pos"), "layer", "split", "features", "experts")
+    x = F.transform("features", lambda v: v.cast("double"))
+    sums = F.zip_with(x, F.concat(F.slice(x, 2, N_SCORES - 1), F.slice(x, 1, 1)), lambda a, b: F.abs(a + b))
+    high = low.withColumns({"layer": F.lit(1), "features": sums.cast("array<float>"), "experts": arrays.top_m(sums, SCORE_K)})
+    both = low.unionByName(high)
+    return both.drop("features"), both.select("doc_id", "pos", "layer", "features")
+
+
+def probe_linear_f4(spark, d):
+    return _shown(probes.evaluate(probes.below(*_two_layers(spark, d)), "linear", N_SCORES, dense=True))
+
+
 def probe_mlp_f5(spark, d):
-    return _shown(probes.evaluate(_hidden(spark, d), "mlp", N_SCORES, dense=True))
+    return _shown(probes.evaluate(probes.below(*_two_layers(spark, d)), "mlp", N_SCORES, dense=True))
+
+
+def exclusions_f4(spark, d):
+    """Of F5 too: both take the same rows."""
+    return probes.below_exclusions(*_two_layers(spark, d), "F4")
 
 
-QUERIES = {"probe_linear_f2": probe_linear_f2, "probe_linear_f3": probe_linear_f3, "probe_f6": probe_f6, "probe_fv": probe_fv, "probe_mlp_f5": probe_mlp_f5}
+QUERIES = {"probe_linear_f2": probe_linear_f2, "probe_linear_f3": probe_linear_f3, "probe_f6": probe_f6, "probe_fv": probe_fv, "probe_linear_f4": probe_linear_f4, "probe_mlp_f5": probe_mlp_f5, "exclusions_f4": exclusions_f4}
 ORACLE_SQL: dict[str, str] = {}
