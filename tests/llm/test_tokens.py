@@ -1,4 +1,5 @@
 import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,6 +41,16 @@ def test_codec_is_the_library(text):
     assert own.decode(ids) == TOKENIZER.decode(ids, skip_special_tokens=False)
 
 
+def test_codec_is_the_library_for_every_mark():
+    """Combining marks, whose classes the library's older tables may lack, alone and beside others."""
+    own = bpe.codec(PATH)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    texts = [t for m in marks for t in ("a" + m, "\u0821" + m, m + "\u0821", "e" + m + "\u0327\u0301", "\u09c7" + m, m)] + ["\u0821\u1ac4", "\u0915\u0c3c\u094d"]
+    assert len(marks) > 2000
+    wrong = [ascii(t) for t, e in zip(texts, TOKENIZER.encode_batch(texts, add_special_tokens=False)) if own.encode(t) != e.ids]
+    assert wrong == []
+
+
 def test_long_pre_tokens_take_the_queue_and_agree():
     own = bpe.codec(PATH)
     for text in ("a" * 3000, "thequickbrown" * 200, "ab" * 64 + "c"):
@@ -66,6 +77,12 @@ def test_elias_fano_round_trip(values, data):
         assert coded.select(i) == values[i] and coded.values(i, j).tolist() == values[i:j]
 
 
+@pytest.mark.parametrize("n", [0, 1, id_files.SLICE, id_files.SLICE + 1, 3 * id_files.SLICE - 5])
+def test_elias_fano_over_several_slices(n):
+    values = np.sort(np.random.default_rng(n).integers(0, 1 << 40, n)).astype(np.uint64)
+    assert (id_files.EliasFano.unpack(id_files.EliasFano.of(values).pack()).values() == values.astype(np.int64)).all()
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(2).integers(0, 2000, 20_000)).astype(np.uint64)
     assert 8 * len(id_files.EliasFano.of(values).pack()) / len(values) < 2 + np.log2(1000) + 1.5
@@ -133,3 +150,5 @@ def test_codec_refuses_other_vocabularies(tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         bpe.Codec(str(tmp_path / "v.json"))
+    with pytest.raises(ValueError):
+        chunks.library_table(str(tmp_path / "v.json"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
 import unicodedata
 
 import numpy as np
@@ -19,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
-from .shared import small_batches
+from .chunks import ChunkTable, specification
+from .shared import alone, small_batches
 
 #: Parts up to which a pre-token is scanned.
 SCANNED = 128
@@ -36,6 +35,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Settled(dict):
+    """Character -> whether its classes are settled: it stands in Unicode 3.2, the oldest tables that
+    Python has. Case, category and composition of such characters are the same in Python's tables and
+    in the library's older ones; of later characters (combining marks above all) they may not be."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = known = unicodedata.ucd_3_2_0.category(c) != "Cn"
+        return known
+
+
+_SETTLED = _Settled()
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does with a BPE file of this make: NFC, white
     space squeezed, lower case; pre-tokens by the file's pattern; byte-level letters; an end-of-word
@@ -43,12 +55,8 @@ class Codec:
     in a text are recognised as such; none are added."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = specification(path)
         model = spec["model"]
-        steps = [s["type"] for s in spec["normalizer"]["normalizers"]], [s["type"] for s in spec["pre_tokenizer"]["pretokenizers"]]
-        if model["type"] != "BPE" or steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"] is not None:
-            raise ValueError("a vocabulary of another make")
         self.path, self.rules = path, None
         self.vocabulary = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -103,8 +111,8 @@ class Codec:
 
     def _words(self, text: str):
         """The pre-tokens of a text, in byte-level letters."""
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
-            # Characters newer than Python's tables: the library's tables decide on case and class.
+        if not text.isascii() and not all(map(_SETTLED.__getitem__, text)):
+            # The library's own tables decide on order, case and class.
             if self.rules is None:
                 from tokenizers import Tokenizer
 
@@ -166,6 +174,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
     small_batches(docs.sparkSession)
 
     def run(batches):
+        alone("bpe", _CODECS.clear)
         own = codec(vocabulary)
         numerals = [str(i) for i in range(own.table.top + 1)]
         for batch in batches:

@@ -8,11 +8,14 @@ chunks seen so far in one flat array; a batch of texts becomes an index array an
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import compress
 
 import numpy as np
 
+from .shared import alone
+
 #: The separators that str.split() knows and the vocabulary's white space does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Unicode White_Space.
@@ -122,6 +125,23 @@ class ChunkTable(dict):
         return self.flat[shift + np.arange(stops[-1])], stops[np.array(ends)]
 
 
+def specification(path: str) -> dict:
+    """A tokenizers file, after checking that it is of the make that this module rests on: BPE after NFC,
+    squeezed white space and lower case; pre-tokens by a pattern that drops white space, then byte-level
+    letters; a mark on the last token of a word; no decoder. Another make is refused."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, normalizer, pre = spec["model"], spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps = [s["type"] for s in normalizer.get("normalizers", ())], [s["type"] for s in pre.get("pretokenizers", ())]
+    if model["type"] != "BPE" or steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"] is not None:
+        raise ValueError("a vocabulary of another make")
+    squeezed, split = normalizer["normalizers"][1], pre["pretokenizers"][0]
+    # With "Removed" turned round, the pattern's matches are kept and what lies between them is dropped.
+    if squeezed["pattern"] != {"Regex": r"\s+"} or not squeezed["content"].isspace() or split["behavior"] != "Removed" or not split["invert"] or not model["end_of_word_suffix"]:
+        raise ValueError("a vocabulary of another make")
+    return spec
+
+
 #: Words of these letters are one pre-token and stay so under composition.
 ONE_WORD = re.compile("[a-zß-öø-ÿ]+")
 
@@ -135,15 +155,17 @@ def library_table(path: str) -> ChunkTable:
     Plain words go to the library as one text, in which the ids that close a word part them; other
     chunks go one by one.
     """
+    alone("chunks", _TABLES.clear)
     if path not in _TABLES:
         from tokenizers import Tokenizer
 
+        ending = specification(path)["model"]["end_of_word_suffix"]
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
         tokens = tokenizer.get_vocab(with_added_tokens=True)
         closes = np.zeros(max(tokens.values()) + 1, bool)
-        closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        closes[[i for t, i in tokens.items() if t.endswith(ending)]] = True
 
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             plain = np.fromiter((ONE_WORD.fullmatch(c) is not None for c in chunks), bool, len(chunks))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+_CACHES: dict[str, Callable] = {}
+
+
+def alone(name: str, clear: Callable) -> None:
+    """Says that the kernel ``name`` of this worker process keeps a cache that ``clear`` empties, and
+    empties those of all other kernels: a worker that one session uses for several operators holds one
+    operator's cache at a time."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``, removed when the driver's JVM ends.
 
