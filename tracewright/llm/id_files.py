@@ -25,6 +25,8 @@ from .shared import open_fs
 MARK = b"EFID0001"
 #: Ones of the upper bits between two sampled positions.
 SAMPLE = 256
+#: Values whose lower bits are spread out at a time; a multiple of 8, so that each slice ends on a byte.
+SLICE = 1 << 14
 
 
 class EliasFano:
@@ -47,8 +49,12 @@ class EliasFano:
             raise ValueError("the sequence decreases")
         top = int(values[-1])
         width = max(0, (top // n).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        lower = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        places = np.arange(width, dtype=np.uint64)
+        lower = np.empty((n * width + 7) // 8, np.uint8)
+        for at in range(0, n, SLICE):
+            bits = ((values[at : at + SLICE, None] >> places) & np.uint64(1)).astype(np.uint8)
+            packed = np.packbits(bits.ravel(), bitorder="little")
+            lower[at * width // 8 : at * width // 8 + len(packed)] = packed
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1, np.uint8)
         unary[ones] = 1
@@ -113,7 +119,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col
         fs, root = open_fs(folder)
         part = TaskContext.get().partitionId()
         name = f"{root}/ids-{part:06d}-{uuid.uuid4().hex}.efid"
-        out, sizes, ids, kind = None, [], [], "<u4"
+        out, sizes, names, nulls, kind = None, [], [], 0, "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 here = batch.slice(at, slice_rows)
@@ -121,19 +127,23 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col
                     out, kind = fs.open_output_stream(name, compression=None), "<u2" if max(table.top, end_id) < 1 << 16 else "<u4"
                 flat, bounds = table.texts(here.column(1).to_pylist())
                 sizes.append(np.diff(bounds) + 1)
-                ids.extend(here.column(0).to_pylist())
+                known = here.column(0).drop_null()
+                nulls += here.num_rows - len(known)
+                names.append(known.to_numpy().copy())
                 out.write(np.insert(flat, bounds[1:], end_id).astype(kind).tobytes())
         if out is None:
             return
         ends = np.cumsum(np.concatenate([[0], *sizes]))
-        known = [i for i in ids if i is not None]
-        base = known[0] if known else 0
+        known = np.concatenate(names)
+        base = int(known[0]) if len(known) else 0
         bounds = EliasFano.of(ends).pack()
-        names = EliasFano.of(np.array([i - base for i in known], np.uint64)).pack()
-        footer = json.dumps({"kind": kind, "documents": len(ids), "tokens": int(ends[-1]), "nulls": len(ids) - len(known), "base": base, "bounds": len(bounds), "names": len(names)}).encode()
+        # Differences of longs may need all 64 bits; wrapping around gives them.
+        names = EliasFano.of(known.astype(np.uint64) - np.array(base).astype(np.uint64)).pack()
+        documents = nulls + len(known)
+        footer = json.dumps({"kind": kind, "documents": documents, "tokens": int(ends[-1]), "nulls": nulls, "base": base, "bounds": len(bounds), "names": len(names)}).encode()
         out.write(b"".join([bounds, names, footer, len(footer).to_bytes(4, "little"), MARK]))
         out.close()
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name.rpartition('/')[2]}", "documents": len(ids), "tokens": int(ends[-1])}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name.rpartition('/')[2]}", "documents": documents, "tokens": int(ends[-1])}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     target = f"{folder}/manifest"
     dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(target)
