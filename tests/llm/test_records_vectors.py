@@ -172,8 +172,30 @@ def test_top_k_edge_cases(spark):
     twice = vectors(spark, [(0, [1.0], 0), (0, [1.0], 0), (1, [2.0], 0)], "double")
     again = top_k.top_k(twice, twice.where("vec_id = 0"), work_dir(spark)).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in again) == [(1, 1, 256 * 512), (2, 0, 65536)]
-    with pytest.raises(ValueError):
-        top_k.top_k(vectors(spark, [(0, [1e20], 0)], "double"), frame, work_dir(spark))
+
+
+def test_top_k_of_large_components_is_exact(spark, monkeypatch):
+    """Products past 2**53 and past 2**63, near ties among them, beside usual vectors."""
+    monkeypatch.setattr(top_k, "SHARD", 64)
+    monkeypatch.setattr(top_k, "LEAF", 8)
+    monkeypatch.setattr(top_k, "HELD", 1000)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(16).tolist(), 0) for i in range(150)]
+    rows += [(1000 + i, (1e6 * rng.standard_normal(16)).tolist(), 0) for i in range(120)]
+    rows += [(2000 + i, (np.ones(16) * 1e6 + np.eye(16)[i % 16] / 256).tolist(), 0) for i in range(40)]
+    rows += [(3000 + i, (1e12 * rng.standard_normal(16)).tolist(), 0) for i in range(30)]
+    frame = vectors(spark, rows, "double")
+    found = top_k.top_k(frame, frame.where("vec_id % 10 = 0"), work_dir(spark), k=5).collect()
+    expect = [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in brute_top(rows, [k for k, r in enumerate(rows) if r[0] % 10 == 0], 5)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == expect
+    assert any(abs(s) > 1 << 53 for *_, s in expect) and any(s == (1 << 63) - 1 for *_, s in expect)
+    alone = vectors(spark, [(0, [1e20], 0), (1, [1e308], 0), (2, [1.0], 0)], "double")
+    assert [tuple(r) for r in top_k.top_k(alone, alone.where("vec_id = 0"), work_dir(spark)).collect()] == [(0, 1, 2, (1 << 63) - 1)]
+
+
+def test_keys_of_scores_sort_like_them():
+    scores = [-(10**60), -(10**40), -(1 << 63) - 1, -5, 0, (1 << 63) - 1, 1 << 63, (1 << 63) + 1, 10**40, 10**60]
+    assert sorted(scores, key=lambda s: (top_k.beyond(s), max(-(1 << 63), min((1 << 63) - 1, s)))) == scores
 
 
 def test_tree_boxes_are_tight_and_reach_bounds_hold():
