@@ -1,8 +1,10 @@
 import hashlib
 import io
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import projection, top_k, warc
@@ -34,7 +36,7 @@ def test_round_trip(spark, pages):
 
 
 def test_chunk_table_rebuilds_payloads(spark, pages):
-    manifest = warc.write_archives(warc.plan_records(pages, work_dir(spark), "page_id", "html", "url"), work_dir(spark))
+    manifest = warc.write_pages(pages, work_dir(spark))
     rows = warc.read_chunks(manifest).where("record_id IN (1, 5, 8, 10)").collect()
     html = {i: (h or "").encode() for i, h in pages.select("page_id", "html").collect() if i is not None}
     for i in (1, 5, 8, 10):
@@ -47,7 +49,7 @@ def test_chunk_table_rebuilds_payloads(spark, pages):
 
 
 def test_archives_are_members_and_damage_is_seen(spark, pages):
-    manifest = warc.write_archives(warc.plan_records(pages, work_dir(spark), "page_id", "html", "url"), work_dir(spark)).collect()
+    manifest = warc.write_pages(pages, work_dir(spark)).collect()
     assert sum(m.records for m in manifest) == pages.count()
     fs, path = open_fs(max(manifest, key=lambda m: m.bytes).path)
     data = fs.open_input_file(path).read()
@@ -58,6 +60,51 @@ def test_archives_are_members_and_damage_is_seen(spark, pages):
             b"".join(body)
 
 
+def test_a_payload_of_many_chunks_takes_little_memory(tmp_path):
+    """400 MB of chunk rows through both halves of the writer and through the reader, of which none may
+    hold more than some chunks."""
+    piece, chunks = bytes(range(256)) * (warc.CHUNK // 256), 1600
+
+    def rows():
+        for k in range(0, chunks, 4):
+            yield pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array(["u"] * 4), pa.array(range(k, k + 4), pa.int32()), pa.array([chunks] * 4, pa.int32()), pa.array([piece] * 4, pa.binary())], names=["id", "uri", "chunk", "chunks", "data"])
+
+    pa.default_memory_pool().release_unused()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    most = 0
+
+    def watched(items):
+        nonlocal most
+        for item in items:
+            most = max(most, pa.total_allocated_bytes() - before)
+            yield item
+
+    with open(tmp_path / "c", "wb") as out, pa.ipc.new_stream(out, warc.CHUNKS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as file:
+        (header,) = list(warc.put_chunks(watched(rows()), file))
+    whole = hashlib.sha256()
+    for _ in range(chunks):
+        whole.update(piece)
+    assert header == (0, 7, "u", chunks * warc.CHUNK, whole.hexdigest())
+    with open(tmp_path / "c", "rb") as source, open(tmp_path / "w", "wb") as out:
+        warc.put_record(out, 1, "d", (*header[1:], None), (data for _, data in watched(warc.get_chunks(source))))
+    with open(tmp_path / "w", "rb") as source:
+        ((fields, size),) = [(fields, sum(map(len, watched(body)))) for fields, body in warc.read_records(source)]
+    assert size == header[3] and fields["WARC-Type"] == "response"
+    assert most < 16 << 20 and tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
+def test_a_payload_that_most_records_share(spark, monkeypatch):
+    monkeypatch.setattr(warc, "OFTEN", 4)
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    rows = [(i, "u", "hot " * 700 if i % 3 else f"own {i} " * 40) for i in range(90)] + [(200 + i, "u", f"own {6 * i} " * 40) for i in range(5)]
+    found = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), work_dir(spark)).collect()}
+    for i, _, h in rows:
+        first = min(k for k, _, x in rows if x == h)
+        assert found[i] == (("response", None, len(h)) if first == i else ("revisit", first, len(h)))
+
+
 def test_no_pages(spark, pages):
     assert warc.round_trip(pages.limit(0), work_dir(spark)).collect() == []
 
