@@ -181,6 +181,55 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def test_risk_is_as_written_down_and_its_slope_is_its_slope():
+    """The risk against a plain loop over documents, and the slope against differences of the risk."""
+    rng = np.random.default_rng(9)
+    for prior, shift in ((0.3, 0.0), (0.6, -2.0), (0.1, 1.0)):
+        positive = rng.random(40) < 0.4
+        z, weight = rng.standard_normal(40) + shift, rng.integers(1, 4, 40).astype(float)
+        loss = lambda t: 1 / (1 + np.exp(t))
+        mean = lambda sign, which: sum(w * loss(sign * x) for x, w, p in zip(z, weight, positive) if p == which) / sum(w for w, p in zip(weight, positive) if p == which)  # noqa: E731, B023
+        below = mean(-1, False) - prior * mean(-1, True)
+        assert np.isclose(toxicity.risk(z, weight, positive, prior), prior * mean(1, True) + max(0.0, below))
+        if below > 0:
+            step = 1e-6 * np.eye(40)
+            slow = [(toxicity.risk(z + s, weight, positive, prior) - toxicity.risk(z - s, weight, positive, prior)) / 2e-6 for s in step]
+            assert np.allclose(toxicity.slope(z, weight, positive, prior), slow, atol=1e-6)
+        else:
+            assert (toxicity.slope(z, weight, positive, prior)[~positive] < 0).all()
+    # Where the second part is negative, the step raises it.
+    z, positive, weight = np.array([6.0, 6.0, -6.0, -6.0]), np.array([True, True, False, False]), np.ones(4)
+    g = toxicity.slope(z, weight, positive, 0.5)
+    assert (g[~positive] < 0).all() and (g[positive] > 0).all()
+
+
+def test_classifier_lowers_the_risk_and_copies_weigh_as_often_as_they_occur():
+    rng = np.random.default_rng(10)
+    lists = [tuple(sorted(set(rng.integers(0, 6, 3).tolist()) | ({6} if k < 60 else set()))) for k in range(200)]
+    rows, columns, weight, positive = toxicity._merged(lists, [k < 60 for k in range(200)])
+    assert weight.sum() == 200 and len(weight) < 200
+    w, b = toxicity.nnpu(rows, columns, weight, positive, 7, 0.3)
+    margin = np.bincount(rows, w[columns], len(weight)) + b
+    assert toxicity.risk(margin, weight, positive, 0.3) < 0.5 * toxicity.risk(np.zeros(len(weight)), weight, positive, 0.3) and w.argmax() == 6
+    one = np.repeat(np.arange(200), [len(x) for x in lists]), np.array([c for x in lists for c in x])
+    again = toxicity.nnpu(*one, np.ones(200), np.arange(200) < 60, 7, 0.3)
+    assert np.allclose(again[0], w, atol=1e-6)
+
+
+def test_every_unlabelled_document_counts(spark, monkeypatch):
+    """Blocks of 100: a word that only late documents hold beside the positives is no feature."""
+    rows, labels = toxic_corpus()
+    rows = [(i, t + " zeitung" * (i > 700 or dict(labels).get(i) == 1)) for i, t in rows]
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.fit(frame, marks, toxicity.learnable())
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    split = toxicity.fit(frame, marks, toxicity.learnable())
+    assert set(split.weights) == set(whole.weights) and "=zeitung" not in split.weights
+    texts = [t for _, t in rows]
+    assert ((split.scores(texts) >= 0.3) == (whole.scores(texts) >= 0.3)).mean() > 0.99
+    assert split == toxicity.fit(frame.repartition(9), marks, toxicity.learnable())
+
+
 def test_toxicity_edge_cases(spark, docs):
     marks = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (100, 1), (101, 1), (205, 0)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
     for model in (toxicity.fit(docs, marks, toxicity.learnable()), toxicity.fit(docs, marks.limit(0), toxicity.learnable()), toxicity.fit(docs.limit(0), marks, toxicity.learnable())):

@@ -8,27 +8,36 @@ unlabelled. With the class prior p, the risk of a linear classifier is
 
 and where the second part falls below zero, the step goes against it, as the estimator's authors have
 it. The loss is the sigmoid one, 1 / (1 + exp(z)): it is bounded, so that large margins of the
-positives seen don't pay for unlabelled texts that score too high. Features are presence of words and of word beginnings that are commoner among positives.
+positives seen don't pay for unlabelled texts that score too high. Features are presence of words and
+of word beginnings, in one word or in several, that are commoner among positives.
+
+Every unlabelled document counts. They are dealt to blocks of bounded size, each block trains a numpy
+classifier against the same positives, and the model is the mean of the classifiers. The only sample is
+that of the positives, which are labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import alone, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside the whole word.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Before a beginning: the text has it in two different chunks or more.
+TWICE = "2"
 KEPT_CHUNKS = 200_000
-#: Counts that a task of the fit holds before it hands them on, and chunks whose features it keeps.
-HELD_COUNTS, HELD_CHUNKS = 100_000, 30_000
+#: Unlabelled documents of a block, on average.
+BLOCK = 16_384
 
 
 def features(text: str) -> set[str]:
@@ -40,6 +49,27 @@ def features(text: str) -> set[str]:
     return out
 
 
+class _Chunks(dict):
+    """Chunk of a text between white space -> its features, of those that ``names`` has alone or twice;
+    all of them where there are no names."""
+
+    def __init__(self, names=None):
+        super().__init__()
+        self.names = None if names is None else {f.removeprefix(TWICE) for f in names}
+
+    def __missing__(self, chunk: str) -> tuple:
+        found = features(chunk)
+        self[chunk] = found = tuple(found if self.names is None else found & self.names)
+        return found
+
+    def of(self, text: str) -> list[str]:
+        """The features of a text, those that it has twice among them."""
+        times = Counter(chain.from_iterable(map(self.__getitem__, set(text.lower().split()))))
+        if len(self) > KEPT_CHUNKS:
+            self.clear()
+        return [*times, *(TWICE + f for f, n in times.items() if n > 1 and f[0] != "=")]
+
+
 @dataclass
 class Model:
     """Weights of the selected features, and the bias."""
@@ -49,34 +79,16 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of the label for each text; a null or empty text has the bias alone."""
-        known = _known(self)
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            found: set = set()
-            if text:
-                found.update(*map(known.__getitem__, set(text.lower().split())))
-            out[i] = self.bias + sum(map(self.weights.__getitem__, sorted(found)))
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
+        known, get = _known(self), self.weights.get
+        out = np.array([self.bias + (sum(get(f, 0.0) for f in sorted(known.of(text))) if text else 0.0) for text in texts])
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-class _Chunks(dict):
-    """Chunk of a text between white space -> its selected features."""
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.names = weights.keys()
-
-    def __missing__(self, chunk: str) -> tuple:
-        self[chunk] = found = tuple(features(chunk) & self.names)
-        return found
-
-
 _KNOWN: dict[int, tuple] = {}
 
 
 def _known(model: Model) -> _Chunks:
+    alone("toxicity", _KNOWN.clear)
     held = _KNOWN.get(id(model))
     if held is None or held[0] is not model:
         _KNOWN.clear()
@@ -84,28 +96,54 @@ def _known(model: Model) -> _Chunks:
     return held[1]
 
 
-def nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def risk(z: np.ndarray, weight: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The non-negative risk of the margins ``z`` of weighted documents."""
+    loss = 1 / (1 + np.exp(z))
+    n_pos, n_unl = weight[positive].sum(), weight[~positive].sum()
+    below = ((1 - loss[~positive]) * weight[~positive]).sum() / n_unl - prior * ((1 - loss[positive]) * weight[positive]).sum() / n_pos
+    return float(prior * (loss[positive] * weight[positive]).sum() / n_pos + max(0.0, below))
+
+
+def slope(z: np.ndarray, weight: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of ``risk`` in each margin where its second part is not negative; else that of the
+    second part alone, turned round, which is the step that the estimator takes there."""
+    p = 1 / (1 + np.exp(-z))
+    n_pos, n_unl = weight[positive].sum(), weight[~positive].sum()
+    steep = p * (1 - p) * weight
+    minus = np.where(positive, -prior * steep / n_pos, steep / n_unl)
+    if (p[~positive] * weight[~positive]).sum() / n_unl >= prior * (p[positive] * weight[positive]).sum() / n_pos:
+        return minus - np.where(positive, prior * steep / n_pos, 0)
+    return -minus
+
+
+def nnpu(rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier that minimises the non-negative risk. ``rows,
     columns`` list the features present; ``positive`` marks the positive documents, the others are
-    unlabelled. Full gradients and Adam, so that the result depends on no order."""
-    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    unlabelled; a document counts ``weight`` times. Full gradients and Adam, so that the result depends
+    on no order."""
     weights, m, v = np.zeros(n_features), np.zeros(n_features + 1), np.zeros(n_features + 1)
     bias = float(np.log(prior / (1 - prior)))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.bincount(rows, weights[columns], len(positive)) - bias))
-        steep = p * (1 - p)
-        minus = np.where(positive, -prior * steep / n_pos, steep / n_unl)
-        if p[~positive].sum() / n_unl >= prior * p[positive].sum() / n_pos:
-            slope = minus - np.where(positive, prior * steep / n_pos, 0)
-        else:
-            slope = -minus
-        g = np.append(np.bincount(columns, slope[rows], n_features) + decay * weights, slope.sum())
+        g = slope(np.bincount(rows, weights[columns], len(positive)) + bias, weight, positive, prior)
+        g = np.append(np.bincount(columns, g[rows], n_features) + decay * weights, g.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - change[:-1], bias - float(change[-1])
     return weights, bias
 
 
+def _merged(lists: list[tuple], positive: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal documents as one, in an order that depends on nothing else: ``rows, columns, weight,
+    positive`` for ``nnpu``."""
+    times: dict[tuple, int] = {}
+    for key in zip(positive, lists):
+        times[key] = times.get(key, 0) + 1
+    order = sorted(times)
+    rows = np.repeat(np.arange(len(order)), [len(x) for _, x in order])
+    columns = np.array([c for _, x in order for c in x], np.int64)
+    return rows, columns, np.array([times[k] for k in order], float), np.array([p for p, _ in order], bool)
+
+
 def learnable(id_column: str = "doc_id", folds: int = 4, held_out: int = 2) -> Column:
     """True for rows whose label may be learned; a row without an id isn't learned from."""
     fold = F.crc32(F.col(id_column).cast("string")) % folds
@@ -116,95 +154,106 @@ def _lot(c: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = 8000, unlabelled: int = 16000, tasks: int = 8, least: int = 5, surprise: float = 50.0, most_features: int = 4096) -> Model:
-    """Fits on about ``positives`` documents marked toxic and about ``unlabelled`` of all documents,
-    chosen by a hash of the id and read whole; these two bounds are the only ones.
+def _matches(texts: pa.Array, known: _Chunks, place: dict[str, int]):
+    """For each text the sorted places of the features that it has."""
+    for text in texts.to_pylist():
+        yield sorted([place[f] for f in known.of(text) if f in place])
 
-    ``may_learn`` is a condition on ``id_column``; labels and texts of other rows are not used. An id
-    with several labels is positive if one of them is. The class prior is the share of positives
-    among all labels that may be learned. Copies of a text count once. Features are those found in
-    at least ``least`` sampled positives and there so much oftener than the unlabelled sample lets
-    expect, that the squared excess is ``surprise`` times the expected number; of more than
-    ``most_features``, the most frequent stay. Without positives the model's score is 0 for all.
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = 8000, tasks: int = 8, least: int = 5, surprise: float = 50.0) -> Model:
+    """Fits on at most about ``positives`` documents marked toxic, chosen by a hash of the id and read
+    whole, and on all documents that may be learned from as unlabelled ones.
+
+    ``may_learn`` is a condition on ``id_column``; labels and texts of other rows are not used, nor are
+    those of rows whose id or text is null. An id with several labels is positive if one of them is. The
+    class prior is the share of positives among all labels that may be learned. Copies of a positive
+    count once; unlabelled documents count as they are. Features are those found in at least ``least``
+    of the positives and there so much oftener than all unlabelled documents let expect, that the
+    squared excess is ``surprise`` times the expected number: what the driver holds and broadcasts are
+    features of the positives, bounded by their number. Without positives, documents or features that
+    pass the model scores the prior, or 0. Columns other than those named don't matter, and an empty
+    table on either side gives the model without positives.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     marks = labels.where(may_learn).select(F.col(id_column).alias("id"), F.col(label_column).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     n_marks, n_toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0))).first()
     own = docs.where(may_learn).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    n_docs = own.count()
-    if not n_toxic or not n_docs:
+    if not n_toxic:
         return Model({}, -40.0)
+    prior = min(0.99, max(1e-4, n_toxic / n_marks))
     chosen = marks.where((F.col("y") == 1) & (_lot("id", 1) < positives / n_toxic)).select("id")
     # At most about `positives` ids: that bound is what makes the broadcast safe.
-    pos = own.join(F.broadcast(chosen), "id", "left_semi").select("text", F.lit(True).alias("positive"))
-    unl = own.where(_lot("id", 2) < unlabelled / n_docs).select("text", F.lit(False).alias("positive"))
-    sample = pos.unionByName(unl).dropDuplicates().repartition(tasks)
-
-    def counted(seen):
-        return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "u", "p"])
+    pos = own.join(F.broadcast(chosen), "id", "left_semi").select("text").dropDuplicates().repartition(tasks)
 
     def tally(batches):
-        seen: dict[str, list[int]] = {}
-        begun: dict[str, set] = {}
+        seen: Counter = Counter()
+        known, n = _Chunks(), 0
         for batch in batches:
-            for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                present = {""}
-                for chunk in set(text.lower().split()):
-                    if (f := begun.get(chunk)) is None:
-                        f = begun[chunk] = features(chunk)
-                    present |= f
-                for f in present:
-                    seen.setdefault(f, [0, 0])[positive] += 1
-                if len(begun) > HELD_CHUNKS:
-                    begun.clear()
-                if len(seen) > HELD_COUNTS:
-                    yield counted(seen)
-                    seen = {}
-        if seen:
-            yield counted(seen)
-
-    counts = sample.mapInArrow(tally, "f string, u long, p long").groupBy("f").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-    expected = F.col("np") * (F.col("u") + 1) / F.col("nu")
-    excess = F.col("p") - expected
-    ratio = (excess > 0) & (excess * excess >= F.lit(surprise) * expected)
-    counts = counts.where((F.col("p") >= least) | (F.col("f") == ""))
-    found = {r["f"]: (r["p"], r["u"]) for r in _selected(counts, ratio, most_features)}
-    names = sorted(found)
+            for text in batch.column(0).to_pylist():
+                seen.update(known.of(text))
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["f", "n"])
+
+    # The empty name stands for the number of documents.
+    found = pos.mapInArrow(tally, "f string, n long").groupBy("f").agg(F.sum("n").alias("p")).where((F.col("p") >= least) | (F.col("f") == ""))
+    inside = {r["f"]: r["p"] for r in found.collect()}
+    n_pos = inside.pop("", 0)
+    if not n_pos:
+        return Model({}, -40.0)
+    candidates = sorted(inside)
+    place = {f: i for i, f in enumerate(candidates)}
+    held = spark.sparkContext.broadcast(place)
+
+    def among_all(batches):
+        known, counts, n = _Chunks(held.value), np.zeros(len(held.value), np.int64), 0
+        for batch in batches:
+            at = [i for match in _matches(batch.column(0), known, held.value) for i in match]
+            counts += np.bincount(np.array(at, np.int64), minlength=len(counts))
+            n += batch.num_rows
+        if n:
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(counts[some], n), pa.int64())], names=["at", "n"])
+
+    everywhere = {r["at"]: r["n"] for r in own.select("text").mapInArrow(among_all, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    held.unpersist()
+    n_unl = everywhere.pop(-1)
+    names = []
+    for f, i in place.items():
+        expected = n_pos * (everywhere.get(i, 0) + 1) / n_unl
+        if inside[f] > expected and (inside[f] - expected) ** 2 >= surprise * expected:
+            names.append(f)
     if not names:
-        return Model({}, float(np.log(n_toxic / n_marks / (1 - min(n_toxic / n_marks, 1 - 1e-6)))))
-    place = {f: i for i, f in enumerate(names)}
-    held = sample.sparkSession.sparkContext.broadcast(place)
+        return Model({}, float(np.log(prior / (1 - prior))))
+    chosen_place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def design(batches):
-        known = _Chunks(held.value)
+        known = _Chunks(chosen_place.value)
         for batch in batches:
-            rows = [sorted(held.value[f] for f in set().union(*map(known.__getitem__, set(text.lower().split())))) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "at"])
+            rows = list(_matches(batch.column(batch.num_columns - 1), known, chosen_place.value))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "at"])
 
-    table = sample.mapInArrow(design, "positive boolean, at array<int>").toArrow()
-    positive = table.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-    lists = table.column("at").to_pylist()
-    if positive.all() or not positive.any():
-        return Model({}, -40.0)
-    # The order in which tasks end must not matter: rows are sorted before sums are taken.
-    order = sorted(range(len(lists)), key=lambda i: (positive[i], lists[i]))
-    positive, lists = positive[order], [lists[i] for i in order]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = np.array([c for x in lists for c in x], np.int64)
-    weights, bias = nnpu(rows, columns, positive, len(names), min(0.99, max(1e-4, n_toxic / n_marks)))
-    return Model({f: float(w) for f, w in zip(names, weights) if w}, bias)
+    positive = spark.sparkContext.broadcast(sorted(map(tuple, pos.mapInArrow(design, "at array<int>").toArrow().column("at").to_pylist())))
+    blocks = -(-n_unl // BLOCK)
+    dealt = own.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "text")
 
+    def train(group: pa.Table) -> pa.Table:
+        some = list(map(tuple, group.column("at").to_pylist()))
+        lists = [*positive.value, *some]
+        rows, columns, weight, marked = _merged(lists, [True] * len(positive.value) + [False] * len(some))
+        weights, bias = nnpu(rows, columns, weight, marked, len(names), prior)
+        at = np.append(np.flatnonzero(weights), -1)
+        return pa.table({"at": pa.array(at, pa.int32()), "w": pa.array(np.append(weights[at[:-1]], bias))})
 
-def _selected(counts: DataFrame, ratio: Column, most: int):
-    """The selected features: at most ``most`` rows reach the driver, and the sample's sizes, which
-    stand under the empty name."""
-    sizes = counts.where("f = ''").first()
-    rest = counts.where("f <> ''").withColumns({"nu": F.lit(sizes["u"]), "np": F.lit(sizes["p"])})
-    return rest.where(ratio).orderBy(F.desc("p"), "f").limit(most).collect()
+    trained = dealt.mapInArrow(design, "block int, at array<int>").groupBy("block").applyInArrow(train, "at int, w double")
+    # Rounded before they are added, so that the sum does not depend on the order of the blocks.
+    total = {r["at"]: float(r["w"]) for r in trained.groupBy("at").agg(F.sum(F.col("w").cast("decimal(28,12)")).alias("w")).collect()}
+    return Model({f: total[i] / blocks for i, f in enumerate(names) if i in total}, total[-1] / blocks)
 
 
 def scorer(spark, model: Model):
-    """A column function: text -> score. The model, at most 4096 features, is broadcast."""
+    """A column function: text -> score. The model, some features of the positives, is broadcast."""
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
