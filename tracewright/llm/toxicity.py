@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alone, small_batches
+from .shared import alone, small_batches, work_dir, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside the whole word.
@@ -50,16 +50,24 @@ def features(text: str) -> set[str]:
 
 
 class _Chunks(dict):
-    """Chunk of a text between white space -> its features, of those that ``names`` has alone or twice;
-    all of them where there are no names."""
+    """Chunk of a lower-cased text between white space -> its features, of those that ``names`` has alone
+    or twice; all of them where there are no names."""
 
     def __init__(self, names=None):
         super().__init__()
         self.names = None if names is None else {f.removeprefix(TWICE) for f in names}
+        # What a word with a named feature begins with: most words are passed over by this alone.
+        self.heads = None if names is None else {f.removeprefix("=")[: PREFIXES[0]] for f in self.names}
 
     def __missing__(self, chunk: str) -> tuple:
-        found = features(chunk)
-        self[chunk] = found = tuple(found if self.names is None else found & self.names)
+        words = (chunk,) if chunk.isalpha() else WORD.findall(chunk)
+        if self.names is None:
+            found = tuple(features(chunk))
+        elif self.heads.isdisjoint([w[: PREFIXES[0]] for w in words]):
+            found = ()
+        else:
+            found = tuple(features(chunk) & self.names)
+        self[chunk] = found
         return found
 
     def of(self, text: str) -> list[str]:
@@ -160,7 +168,7 @@ def _matches(texts: pa.Array, known: _Chunks, place: dict[str, int]):
         yield sorted([place[f] for f in known.of(text) if f in place])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = 8000, tasks: int = 8, least: int = 5, surprise: float = 50.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = 8000, labelled: int = 16000, tasks: int = 8, least: int = 5, surprise: float = 50.0) -> Model:
     """Fits on at most about ``positives`` documents marked toxic, chosen by a hash of the id and read
     whole, and on all documents that may be learned from as unlabelled ones.
 
@@ -169,8 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str =
     class prior is the share of positives among all labels that may be learned. Copies of a positive
     count once; unlabelled documents count as they are. Features are those found in at least ``least``
     of the positives and there so much oftener than all unlabelled documents let expect, that the
-    squared excess is ``surprise`` times the expected number: what the driver holds and broadcasts are
-    features of the positives, bounded by their number. Without positives, documents or features that
+    squared excess is ``surprise`` times the expected number. Which features are counted in all documents
+    is decided on the positives and about ``labelled`` documents with any label, by half that excess: what
+    the driver holds and broadcasts are features of a sample whose size is bounded. Without positives, documents or features that
     pass the model scores the prior, or 0. Columns other than those named don't matter, and an empty
     table on either side gives the model without positives.
     """
@@ -182,28 +191,40 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str =
     if not n_toxic:
         return Model({}, -40.0)
     prior = min(0.99, max(1e-4, n_toxic / n_marks))
-    chosen = marks.where((F.col("y") == 1) & (_lot("id", 1) < positives / n_toxic)).select("id")
-    # At most about `positives` ids: that bound is what makes the broadcast safe.
-    pos = own.join(F.broadcast(chosen), "id", "left_semi").select("text").dropDuplicates().repartition(tasks)
+    chosen = marks.withColumns({"positive": (F.col("y") == 1) & (_lot("id", 1) < positives / n_toxic), "other": _lot("id", 2) < labelled / n_marks}).where("positive OR other").select("id", "positive", "other")
+    # At most about `positives` and `labelled` ids: that bound is what makes the broadcast safe.
+    sample = own.join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("positive").alias("positive"), F.max("other").alias("other"))
+    sample = written(sample.repartition(tasks), work_dir(spark), "sample")
+    pos = sample.where("positive").select("text")
 
     def tally(batches):
-        seen: Counter = Counter()
-        known, n = _Chunks(), 0
+        inside, beside = Counter(), Counter()
+        known = _Chunks()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(known.of(text))
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["f", "n"])
-
-    # The empty name stands for the number of documents.
-    found = pos.mapInArrow(tally, "f string, n long").groupBy("f").agg(F.sum("n").alias("p")).where((F.col("p") >= least) | (F.col("f") == ""))
-    inside = {r["f"]: r["p"] for r in found.collect()}
-    n_pos = inside.pop("", 0)
-    if not n_pos:
+            for text, positive, other in zip(*(c.to_pylist() for c in batch.columns)):
+                # The empty name stands for the number of documents.
+                found = ["", *known.of(text)]
+                if positive:
+                    inside.update(found)
+                if other:
+                    beside.update(found)
+        names = [*inside]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(inside.values(), pa.int64()), pa.array([beside[f] for f in names], pa.int64())], names=["f", "p", "u"])
+        rest = [f for f in beside if f not in inside]
+        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([beside[f] for f in rest], pa.int64())], names=["f", "p", "u"])
+
+    counts = sample.mapInArrow(tally, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = written(counts.where((F.col("p") >= least) | (F.col("f") == "")), work_dir(spark), "counts")
+    sizes = counts.where("f = ''").first()
+    if sizes is None or not sizes["p"]:
         return Model({}, -40.0)
-    candidates = sorted(inside)
-    place = {f: i for i, f in enumerate(candidates)}
+    n_pos = sizes["p"]
+    guess = F.lit(float(n_pos)) * (F.col("u") + 1) / F.lit(max(1, sizes["u"]))
+    likely = (F.col("f") != "") & (F.col("p") > guess) & ((F.col("p") - guess) * (F.col("p") - guess) >= guess * (surprise / 2))
+    inside = {r["f"]: r["p"] for r in counts.where(likely).select("f", "p").collect()}
+    if not inside:
+        return Model({}, float(np.log(prior / (1 - prior))))
+    place = {f: i for i, f in enumerate(sorted(inside))}
     held = spark.sparkContext.broadcast(place)
 
     def among_all(batches):
