@@ -89,7 +89,7 @@ def _codes(group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     """``weights[language, bucket]`` are log probabilities, 0 in the bucket of no letter; ``priors``
-    are the log shares of the sample's documents."""
+    are the log shares of all documents learned from, of which the weights' counts are a sample."""
 
     languages: list[str]
     weights: np.ndarray
@@ -124,16 +124,21 @@ def learnable(id_column: str = "doc_id", folds: int = 5, held_out: int = 0) -> C
     return F.coalesce(fold != held_out, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_language: int = 4000, smoothing: float = 0.05, tasks: int = 8) -> Model:
+def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", per_language: int = 4000, smoothing: float = 0.05, tasks: int = 8, most_languages: int = 512) -> Model:
     """Fits on about ``per_language`` documents of each language, chosen by a hash of the id; all of
     a language that has fewer. Rows whose text, label or id is null are not learned from.
 
-    The sample is the only part that is bounded; each of its texts counts whole. Counts of (language,
-    bucket) are summed by Spark and only their matrix reaches the driver.
+    The sample is the only part that is bounded; each of its texts counts whole, and the priors are the
+    languages' shares of all documents. Counts of (language, bucket) are summed by Spark and only their
+    matrix reaches the driver. That matrix and each task's counts have 65,537 numbers a language; more
+    than ``most_languages`` labels are refused before any is counted. An empty table gives a model that
+    answers ``und``; columns other than those named don't matter.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} labels: not a table of languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, (1 << BITS) + 1), np.float32), np.zeros(0))
@@ -143,17 +148,16 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label] = seen.get(label, 0) + 1
                 tally = sums.setdefault(label, np.zeros((1 << BITS) + 1, np.int64))
                 for group, _ in segments([text]):
                     codes, _, own = _codes(group)
                     for b in grams(codes):
                         tally += np.bincount(b[own], minlength=(1 << BITS) + 1)
         for label, tally in sums.items():
-            tally[1 << BITS] = seen[label]
+            # The bucket of no letter is not a gram.
+            tally[1 << BITS] = 0
             at = np.flatnonzero(tally)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(tally[at], pa.int64())], names=["label", "bucket", "n"])
 
@@ -161,10 +165,11 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     counts = np.zeros((len(languages), (1 << BITS) + 1))
     rank = {k: i for i, k in enumerate(languages)}
     counts[np.array([rank[x] for x in found.column("label").to_pylist()], np.int64), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    documents, counts = counts[:, -1].copy(), counts[:, :-1]
+    counts = counts[:, :-1]
     weights = np.log(counts + smoothing) - np.log(counts.sum(axis=1, keepdims=True) + smoothing * counts.shape[1])
     weights = np.concatenate([weights, np.zeros((len(languages), 1))], axis=1).astype(np.float32)
-    return Model(languages, weights, np.log(np.maximum(documents, 0.5) / max(documents.sum(), 1)))
+    documents = np.array([sizes[k] for k in languages], float)
+    return Model(languages, weights, np.log(documents / documents.sum()))
 
 
 def predictor(spark, model: Model):
