@@ -129,6 +129,56 @@ def test_long_texts_are_cut_into_windows_without_loss(monkeypatch):
             assert (np.bincount(g[k], minlength=(1 << 16) + 1) == total[k]).all()
 
 
+def plain_bayes(rows, texts, smoothing=0.05):
+    """The model in plain loops over characters, with the same hash: log posterior of each language."""
+
+    def buckets(text):
+        codes = [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0, 0]
+        out = []
+        for i in range(len(codes) - 2):
+            key = 0
+            for k in range(3):
+                key = ((key * 0x01000193) & 0xFFFFFFFF) ^ ((codes[i + k] * 0xC2B2AE35) & 0xFFFFFFFF)
+                if any(codes[i : i + k + 1]):
+                    x = ((key + k) * 0x9E3779B1) & 0xFFFFFFFF
+                    x ^= x >> 15
+                    out.append(((x * 0x85EBCA77) & 0xFFFFFFFF) >> 16)
+        return out
+
+    counts, documents = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for _, text, lang in rows:
+        documents[lang] += 1
+        for b in buckets(text):
+            counts[lang][b] += 1
+    out = []
+    for text in texts:
+        logs = {}
+        for lang in sorted(documents):
+            whole = sum(counts[lang].values()) + smoothing * 65536
+            logs[lang] = np.log(documents[lang] / len(rows)) + sum(np.log((counts[lang].get(b, 0) + smoothing) / whole) for b in buckets(text))
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_scores_are_those_of_the_plain_model(spark):
+    rows = [r for r in corpora() if r[2] != "fr" or r[0] % 9 == 0]
+    texts = ["the ing", "sch", "é the", "ein ung ment er", "x", "eau the sch " * 3, rows[5][1], "Ünd 12 the."]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, scores = model.predict(texts)
+    for lang, score, (expect, p) in zip(langs, scores, plain_bayes(rows, texts)):
+        assert lang == expect and abs(score - p) < 1e-3
+
+
+def test_priors_are_shares_of_all_documents_and_labels_are_bounded(spark):
+    rows = [(i, f"w{i % 7} the", "en" if i % 10 else "de") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, per_language=20)
+    assert np.allclose(np.exp(model.priors), [0.1, 0.9])
+    with pytest.raises(ValueError):
+        langid.fit(frame.withColumn("lang", F.col("doc_id").cast("string")), most_languages=50)
+
+
 def test_language_edge_cases(spark, docs):
     model = langid.fit(docs)
     found = langid.identify(docs, model).collect()
@@ -261,6 +311,70 @@ def test_shards_are_even_and_ordered(spark, docs, shards):
     assert all(r.size == len(text[r.id].encode()) + 1 and r.crc == zlib.crc32(text[r.id].encode()) for r in rows if r.id is not None)
 
 
+def walk(dims, bits):
+    """Cells in the order of the curve, by the other way round: from the place to the coordinates, with
+    Gray codes, entry points and directions of sub-cubes."""
+
+    def turn(x, d):
+        d %= dims
+        return ((x << d) | (x >> (dims - d))) & ((1 << dims) - 1)
+
+    gray = lambda i: i ^ (i >> 1)
+    entry = lambda i: 0 if i == 0 else gray(2 * ((i - 1) // 2))
+    ones = lambda i: (~i & (i + 1)).bit_length() - 1
+    direction = lambda i: 0 if i == 0 else (ones(i - 1) if i % 2 == 0 else ones(i)) % dims
+    cells = []
+    for place in range(1 << (dims * bits)):
+        e, d, at = 0, 0, [0] * dims
+        for level in range(bits - 1, -1, -1):
+            w = (place >> (level * dims)) & ((1 << dims) - 1)
+            corner = turn(gray(w), d + 1) ^ e
+            for j in range(dims):
+                at[j] |= ((corner >> j) & 1) << level
+            e, d = e ^ turn(entry(w), d + 1), (d + direction(w) + 1) % dims
+        cells.append(tuple(at))
+    return cells
+
+
+@pytest.mark.parametrize("dims, bits", [(2, 3), (3, 2), (3, 4)])
+def test_curve_is_a_hilbert_curve(spark, dims, bits):
+    """Equal, but for the order and direction of the axes, to a curve made in another way."""
+    mine = {r.place: tuple((r.cell >> (bits * (dims - 1 - i))) & ((1 << bits) - 1) for i in range(dims)) for r in hilbert.curve(spark, dims, bits).collect()}
+    # Both visit aligned cubes of every size one after another, and each step changes one coordinate by 1.
+    for cells in ([mine[k] for k in range(len(mine))], walk(dims, bits)):
+        assert cells[0] == (0,) * dims and sorted(cells[-1]) == [0] * (dims - 1) + [(1 << bits) - 1]
+        for level in range(1, bits):
+            size = 1 << (dims * level)
+            for at in range(0, len(cells), size):
+                assert len({tuple(x >> level for x in c) for c in cells[at : at + size]}) == 1
+        assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(cells, cells[1:]))
+    if dims == 2:
+        assert [mine[k] for k in range(len(mine))] in ([c[::s] for c in walk(dims, bits)] for s in (1, -1))
+
+
+def test_each_row_has_its_own_cell_and_place(spark, docs, monkeypatch):
+    """Against a plain computation of quantiles, cells and order, on rows without ties of size."""
+    monkeypatch.setattr(hilbert, "PIECES", 3)
+    monkeypatch.setattr(hilbert, "WINDOW", 4)
+    names, bits = ["lang", "n_chars"], 2
+    rows = hilbert.assign(docs, work_dir(spark), names, 3, "doc_id", "text", bits=bits).collect()
+    frame = docs.select("doc_id", "text", "lang", "n_chars").collect()
+    number = lambda x: None if x is None else float(int.from_bytes(x.encode()[:7].ljust(7, b"\0"), "big")) if isinstance(x, str) else float(x)
+    bounds = {}
+    for c in names:
+        values = sorted(number(r[c]) for r in frame if r[c] is not None)
+        bounds[c] = sorted({values[max(0, -(-k * len(values) // 4) - 1)] for k in (1, 2, 3)})
+    place = {c: k for k, c in enumerate(hilbert_order(spark, 2, bits))}
+    expect = sorted((str(r.doc_id), zlib.crc32((r.text or "").encode()), place[tuple(0 if r[c] is None else sum(b < number(r[c]) for b in bounds[c]) for c in names)]) for r in frame)
+    assert sorted((str(r.id), r.crc, r.place) for r in rows) == expect
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.place for r in order] == sorted(r.place for r in rows)
+
+
+def hilbert_order(spark, dims, bits):
+    return [tuple((r.cell >> (bits * (dims - 1 - i))) & ((1 << bits) - 1) for i in range(dims)) for r in hilbert.curve(spark, dims, bits).orderBy("place").collect()]
+
+
 def test_sharding_of_nothing(spark, docs):
     assert hilbert.assign(docs.limit(0), work_dir(spark), ["lang", "n_chars"], 4, "doc_id", "text").collect() == []
 
@@ -269,7 +383,10 @@ def test_ranges_prune(spark, docs):
     rows = hilbert.assign(docs, work_dir(spark), ["n_chars"], 4, "doc_id", "text")
     wide = rows.join(docs.select(F.col("doc_id").alias("id"), "n_chars"), "id")
     found = sorted(hilbert.file_ranges(wide, ["n_chars"]).collect(), key=lambda r: r.shard)
-    assert all((a.max_n_chars or 0) <= 4 * (b.max_n_chars or 1) for a, b in zip(found, found[1:]))
+    # Along one dimension the curve is the order of the steps, so ranges meet at most in one step.
+    bounds = hilbert.steps(docs, ["n_chars"], 4)["n_chars"]
+    step = lambda x: sum(b < (x or 0) for b in bounds)
+    assert len(found) == 4 and all(step(a.max_n_chars) <= step(b.min_n_chars) for a, b in zip(found, found[1:]))
 
 
 def test_pipeline_stages(spark, docs, tmp_path):

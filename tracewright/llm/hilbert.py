@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Share of all rows that one window of the ranking may hold, as a denominator.
-PIECES = 1024
+#: Windows of the ranking: at least so many, and one more for each WINDOW rows of the table.
+PIECES, WINDOW = 1024, 1 << 20
 _LOTS = 1 << 30
 
 
@@ -74,9 +74,10 @@ def assign(df: DataFrame, folder: str, columns: list[str], shards: int, id_colum
     step; rows that repeat an id are rows of their own; an empty table gives no rows. Other columns
     don't matter, whatever their names.
 
-    The ranking never brings a cell's rows together: a cell with more than 1 / PIECES of all rows is
-    cut by the hash into that many windows more, and the running totals are over one row per window,
-    2**(dims * bits) + PIECES at most, which also bounds what is broadcast.
+    The ranking never brings a cell's rows together: a cell with more than 1 / PIECES of all rows, or
+    more than WINDOW, is cut by the hash into that many windows more, so that no window grows with the
+    table. The running totals are over one row per window, 2**(dims * bits) + PIECES + rows / WINDOW at
+    most, which also bounds what is broadcast: 100,000 small rows for 10**11 documents.
     """
     spark = df.sparkSession
     bounds = steps(df, columns, bits)
@@ -91,7 +92,7 @@ def assign(df: DataFrame, folder: str, columns: list[str], shards: int, id_colum
     rows = written(rows.select("id", "size", "crc", "place", "lot"), folder, "rows")
     counts = rows.groupBy("place").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
-    windows = counts.select("place", total.alias("total"), F.ceil(F.col("n") * PIECES / total).cast("long").alias("windows"))
+    windows = counts.select("place", total.alias("total"), F.ceil(F.col("n") * F.greatest(F.lit(PIECES), F.ceil(total / WINDOW)) / total).cast("long").alias("windows"))
     rows = rows.join(F.broadcast(windows), "place").withColumn("window", F.floor(F.col("lot") * F.col("windows") / _LOTS))
     before = F.sum("n").over(Window.orderBy("place", "window").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy("place", "window").agg(F.count("*").alias("n")).select("place", "window", F.coalesce(before, F.lit(0)).alias("start"))
