@@ -66,6 +66,31 @@ def test_near_duplicates_in_groups_around_the_threshold(spark, monkeypatch):
     check_near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_near_duplicates_in_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HASHES", 500)
+    rng = random.Random(13)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(300)}" for _ in range(150)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(0, 10)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+            rows.append((rng.randrange(10_000), " ".join(own)))
+    check_near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_many_rows_without_an_id_meet_only_copies(spark):
+    """10,000 texts without an id and 5,000 with one id, of which some are near copies: no row meets all."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(7000)]
+    rows = [(None, t) for t in texts[:5000]] + [(None, t + " end") for t in texts[:5000]] + [(77, t) for t in texts[4000:]] + [(77, texts[0])] * 2000
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), work_dir(spark)).collect()
+    assert len(found) == len(rows)
+    # A text with its end has 26 of 27 shingles in common with it; copies that have an id give it.
+    assert sum(r.component_id == 77 for r in found) == sum(1 for i, t in rows if i == 77 or t.removesuffix(" end") in {*texts[4000:], texts[0]})
+
+
 def test_near_duplicates_of_nothing(spark, docs):
     assert near_dup.near_duplicates(docs.limit(0), work_dir(spark)).collect() == []
 

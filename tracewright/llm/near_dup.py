@@ -8,7 +8,8 @@
    of candidates is estimated from all registers jointly, by likelihood; clearly dissimilar pairs go.
 3. What is left is verified on the full sets, as far as it can still join two components: first each
    class against the band leader that it shares most bands with, then, within the bands that still hold
-   several components, all pairs between components, in blocks of bounded size.
+   several components, the members outside the band's largest component against all others, in blocks
+   of bounded rows and bytes.
 
 Two sets of similarity 0.75 share no band with a probability of (1 - 0.75**4)**48 = 1.2e-8.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import alone, connected_components, written
 
 BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
@@ -31,8 +32,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: An estimate this much below the threshold (5 standard deviations) rules a pair out.
 SLACK = 0.155
-#: Members of a band that are compared at a time.
-BLOCK = 1024
+#: Members of a band that are compared at a time, on each side, and hashes in their full sets.
+BLOCK, HASHES = 1024, 1 << 21
 KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(20240229)
@@ -140,21 +141,22 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``id, key, n, bands`` of each row: the set's 128-bit key, its size, and the registers as one
-    long per band. Key and bands of an empty set are null."""
+    """``id, mark, key, n, bands`` of each row: the text's hash, the set's 128-bit key, its size, and the
+    registers as one long per band. Key and bands of an empty set are null."""
 
     def run(batches):
+        alone("near_dup", _WORDS.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 here = batch.slice(at, 512)
                 keys, sizes, bands = [], [], []
-                for s in _sets(here.column(1), words):
+                for s in _sets(here.column(2), words):
                     keys.append(_key(s) if len(s) else None)
                     sizes.append(len(s))
                     bands.append(registers(s).view(np.int64) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([here.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "mark", "key", "n", "bands"])
 
-    return docs.mapInArrow(run, "id long, key binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "id long, mark long, key binary, n long, bands array<long>")
 
 
 def _matrix(bands: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -163,9 +165,11 @@ def _matrix(bands: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, hashes`` of the classes ``wanted(node, id, key)``: their sets again, from the text of
-    the class's first document. Where rows share an id, the key tells them apart."""
-    rows = wanted.join(docs.select(F.col("id").alias("at"), "text"), F.col("id").eqNullSafe(F.col("at"))).select("node", "key", "text")
+    """``node, hashes`` of the classes ``wanted(node, id, mark, key)``: their sets again, from the text of
+    the class's first document. Rows are found by id and hash of the text together, so rows without an
+    id, or with one that others have, meet nothing but copies of their text, of which one is taken."""
+    texts = docs.select(F.col("id").alias("at"), F.col("mark").alias("of"), "text")
+    rows = wanted.join(texts, (F.col("mark") == F.col("of")) & F.col("id").eqNullSafe(F.col("at"))).select("node", "key", "text").dropDuplicates(["node"])
 
     def run(batches):
         for batch in batches:
@@ -193,14 +197,16 @@ def near_duplicates(docs: DataFrame, folder: str, id_column: str = "doc_id", tex
     empty table gives an empty result.
 
     Equal sets are one class, found by a grouped minimum, so a large group of copies is never paired.
-    No pair within a group is ever a row: candidates are compared inside blocks of at most 2 * BLOCK
-    classes, and only links that join components come out. Work is quadratic only in classes that
-    share a band, are alike by estimate and yet stay in different components.
+    No pair within a group is ever a row: candidates are compared inside blocks of about BLOCK classes
+    or HASHES set elements a side, and only links that join components come out. In a band, what is
+    outside its largest component, of size s, meets all n members: work is s * n, quadratic only where
+    many classes share a band and the first pass joined few of them.
     """
     threshold = numerator / denominator
-    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("mark"), F.col(text_column).alias("text"))
     sketch = written(sketches(own, words), folder, "sketches")
-    grouped = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    grouped = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    grouped = grouped.select("key", "least.id", "least.mark", "n", "bands")
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
 
     # A bucket's last six bits are its band.
@@ -225,9 +231,9 @@ def near_duplicates(docs: DataFrame, folder: str, id_column: str = "doc_id", tex
                 yield batch.filter(pa.array(j >= threshold - SLACK)).select([0, 1])
 
     near = written(near.mapInArrow(likely, "node_a long, node_b long"), folder, "near")
-    names = classes.select("node", "id", "key")
+    names = classes.select("node", "id", "mark", "key")
     wanted = near.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
-    full = written(_full_sets(own, names.join(wanted, "node", "left_semi"), words).dropDuplicates(["node"]), folder, "sets1")
+    full = written(_full_sets(own, names.join(wanted, "node", "left_semi"), words), folder, "sets1")
     ends = lambda tag: full.select(F.col("node").alias(f"at_{tag}"), F.col("hashes").alias(f"hashes_{tag}"))
 
     def confirm(batches):
@@ -239,56 +245,66 @@ def near_duplicates(docs: DataFrame, folder: str, id_column: str = "doc_id", tex
     links = written(checked.mapInArrow(confirm, "a long, b long"), folder, "links1")
     label = connected_components(links, folder, "first")
 
-    # Second pass: bands that still hold several components.
+    # Second pass: bands that still hold several components. Of buckets with the same members the first
+    # band's is enough, and the members of a bucket's largest component meet those outside it only.
     labelled = members.select("bucket", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    labelled = written(labelled, folder, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
-    open_ = written(open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), folder, "open")
-    dealt = labelled.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # A block meets itself and each other block once: the member goes to all block pairs with its own.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = written(dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root"), folder, "dealt")
-    sized = dealt.join(classes.select(F.col("node").alias("of"), "n", "bands"), F.col("node") == F.col("of")).select("bucket", "i", "j", "block", "node", "root", "n", "bands")
+    labelled = written(labelled.join(classes.select(F.col("node").alias("of"), "n"), F.col("node") == F.col("of")).drop("of"), folder, "labelled")
+    mixed = F.xxhash64("node", F.lit(3)).cast("decimal(38,0)")
+    open_ = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum("n").alias("hashes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(mixed).alias("y")).where("low < high")
+    open_ = open_.groupBy("size", "x", "y").agg(F.min(F.struct(F.col("bucket").bitwiseAND(F.lit(63)).alias("band"), "bucket", "hashes")).alias("m")).select("m.bucket", "size", "m.hashes")
+    open_ = written(open_, folder, "open")
+    parts = written(labelled.join(open_.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").agg(F.count("*").alias("size"), F.sum("n").alias("hashes")), folder, "parts")
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "hashes", "root")).alias("m"))
+    blocks = lambda size, hashes: F.greatest(F.lit(1), F.ceil(size / BLOCK), F.ceil(hashes / HASHES)).cast("int")
+    open_ = open_.join(largest, "bucket").select("bucket", F.col("m.root").alias("main"), blocks(F.col("size") - F.col("m.size"), F.col("hashes") - F.col("m.hashes")).alias("rows"), blocks(F.col("size"), F.col("hashes")).alias("columns"))
+    open_ = written(open_, folder, "dealing")
+    # A pair of blocks (i, j) compares the outsiders of block i, side 0, with all members of block j, side 1.
+    dealt = labelled.select("bucket", "node", "root").join(open_, "bucket")
+    lot = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    outside = dealt.where("root <> main").select("bucket", lot(1, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root", "main")
+    inside = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), lot(2, F.col("columns")).alias("j"), F.lit(1).alias("side"), "node", "root", "main")
+    dealt = written(outside.unionByName(inside), folder, "dealt")
+    sized = dealt.join(classes.select(F.col("node").alias("of"), "n", "bands"), F.col("node") == F.col("of")).select("bucket", "i", "j", "side", "node", "root", "main", "n", "bands")
 
     def plausible(table: pa.Table):
-        """Index pairs of a block pair that may be links between components: not of one component, in
-        different blocks if there are two, alike by size and by estimate, and in no earlier band."""
-        table = table.combine_chunks()
-        root, block, n = (table.column(c).to_numpy() for c in ("root", "block", "n"))
+        """Index pairs of a block pair that may be links between components: an outsider and a member of
+        another component, each two outsiders once, that share no earlier band and are alike by size and
+        by estimate."""
+        side, node, root, main, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "main", "n"))
         regs = _matrix(table.column("bands"))
         bands = regs.view(np.int64)
-        apart = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         band = table.column("bucket")[0].as_py() & 63
-        for low in range(0, len(root), 32):
-            rows = np.arange(low, min(low + 32, len(root)))[:, None]
-            some = (np.arange(len(root)) > rows) & (root != root[rows])
-            some &= np.minimum(n, n[rows]) * denominator >= np.maximum(n, n[rows]) * numerator
-            if apart:
-                some &= block != block[rows]
-            first, second = np.nonzero(some)
-            first += low
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for low in range(0, len(rows), 32):
+            some = rows[low : low + 32, None]
+            able = (root[columns] != root[some]) & ((node[columns] > node[some]) | (root[columns] == main[columns]))
+            able &= np.minimum(n[columns], n[some]) * denominator >= np.maximum(n[columns], n[some]) * numerator
+            first, second = np.nonzero(able)
+            first, second = rows[low + first], columns[second]
             for at in range(0, len(first), 8192):
                 a, b = first[at : at + 8192], second[at : at + 8192]
-                near = (regs[a] == regs[b]).sum(axis=1) >= (threshold - SLACK) * REGISTERS * 0.9
-                a, b = a[near], b[near]
                 near = (bands[a] == bands[b]).argmax(axis=1) == band
                 a, b = a[near], b[near]
+                near = (regs[a] == regs[b]).sum(axis=1) >= (threshold - SLACK) * REGISTERS * 0.9
+                a, b = a[near], b[near]
                 if len(a):
                     near = estimate(regs[a], regs[b], n[a].astype(float), n[b].astype(float)) >= threshold - SLACK
                     yield from zip(a[near].tolist(), b[near].tolist())
 
     def active(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         at = sorted({x for pair in plausible(table) for x in pair})
-        return table.select(["bucket", "i", "j", "block", "node", "root", "n", "bands"]).take(pa.array(at, pa.int64()))
+        return table.select(["bucket", "i", "j", "side", "node", "root", "main", "n", "bands"]).take(pa.array(at, pa.int64()))
 
-    active_schema = "bucket long, i int, j int, block int, node long, root long, n long, bands array<long>"
+    active_schema = "bucket long, i int, j int, side int, node long, root long, main long, n long, bands array<long>"
     some = written(sized.groupBy("bucket", "i", "j").applyInArrow(active, active_schema), folder, "active")
     missing = some.select("node").distinct().join(full.select("node"), "node", "left_anti")
-    more = written(_full_sets(own, names.join(missing, "node", "left_semi"), words).dropDuplicates(["node"]), folder, "sets2")
+    more = written(_full_sets(own, names.join(missing, "node", "left_semi"), words), folder, "sets2")
     sets = full.unionByName(more).select(F.col("node").alias("of"), "hashes")
     armed = some.join(sets, F.col("node") == F.col("of")).drop("of")
 
     def join_components(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         parent = {r: r for r in root.tolist()}
@@ -309,7 +325,7 @@ def near_duplicates(docs: DataFrame, folder: str, id_column: str = "doc_id", tex
     joins = written(armed.groupBy("bucket", "i", "j").applyInArrow(join_components, "a long, b long"), folder, "links2")
     label = connected_components(links.unionByName(joins), folder, "second") if not joins.isEmpty() else label
 
-    rooted = written(names.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "id", F.coalesce("root", "node").alias("root")), folder, "rooted")
+    rooted = written(names.drop("mark").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "id", F.coalesce("root", "node").alias("root")), folder, "rooted")
     least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "to"), folder, "least")
     named = written(rooted.join(least, F.col("root") == F.col("to")).select(F.col("key").alias("of"), "component_id"), folder, "named")
     with_words = sketch.where("key IS NOT NULL").select("id", "key", "n").join(named, F.col("key") == F.col("of")).select("id", "n", "component_id")
