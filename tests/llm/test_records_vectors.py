@@ -152,6 +152,7 @@ def check_links(found, rows, threshold=0.95):
 
 def test_links_of_clusters(spark, monkeypatch):
     monkeypatch.setattr(projection, "TILE", 32)
+    monkeypatch.setattr(projection, "PACKED", 20)
     rows = clusters()
     check_links(projection.components(vectors(spark, rows).repartition(3), work_dir(spark), window=16).collect(), rows)
 
@@ -172,6 +173,33 @@ def test_links_in_a_crowded_cone_that_no_window_shows(spark, monkeypatch):
     check_links(found, rows)
 
 
+def test_passes_find_the_share_of_pairs_that_they_promise(spark):
+    """Lone pairs at a cosine of 0.95 among evenly spread vectors: windows alone, without the exact step."""
+    rng = np.random.default_rng(7)
+    units = projection.unit(rng.standard_normal((6000, 48)))
+    turned = rng.standard_normal((600, 48))
+    turned -= (turned * units[:600]).sum(axis=1, keepdims=True) * units[:600]
+    units = np.concatenate([units, 0.951 * units[:600] + np.sqrt(1 - 0.951**2) * projection.unit(turned)])
+    passes, mean, met = projection.passes_for(len(units), 8, 0.95, 0.05), units.mean(axis=0), np.zeros(600, bool)
+    for p in range(passes):
+        place = np.empty(len(units), int)
+        place[np.argsort(projection.keys(units, mean, p), kind="stable")] = np.arange(len(units))
+        met |= np.abs(place[:600] - place[6000:]) <= 8
+    assert met.mean() >= 0.95 and [projection.passes_for(n, 64, 0.95, 0.01) for n in (0, 50_000, 10**8)] == [4, 11, 39]
+
+
+def test_links_of_one_large_component(spark):
+    """50,000 vectors in one component, among them chains of near copies: every one's links in full."""
+    angles = np.sort(np.random.default_rng(9).random(50_000)) * 5.5
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], 0) for i, a in enumerate(angles)]
+    found = sorted(projection.components(vectors(spark, rows, "double").repartition(8), work_dir(spark)).collect(), key=lambda r: r.vec_id)
+    reach = np.arccos(0.95)
+    expect = np.searchsorted(angles, angles + reach) - np.searchsorted(angles, angles - reach) - 1
+    # Angles closer to the threshold than rounding decide either way.
+    assert len(found) == 50_000 and np.abs(np.array([r.n_links for r in found]) - expect).max() <= 1
+    assert {r.component_id for r in found} == {0} and sum(r.kept for r in found) == 1
+
+
 def test_cells_are_left_out_only_if_no_pair_can_be_linked():
     rng = np.random.default_rng(6)
     units = projection.unit(np.concatenate([c + 0.15 * rng.standard_normal((20, 12)) for c in rng.standard_normal((30, 12))]))

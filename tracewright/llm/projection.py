@@ -6,8 +6,8 @@ Pairs that pass the exact test are united, over all passes. Neither windows nor
 the result. Afterwards the vectors are cut into blocks of cells, each with a centre and a radius; two
 cells are left out only if the triangle inequality proves that no pair between them can be linked, and
 all others are compared, which finds every link between components. Then all pairs inside a component
-are compared in tiles of bounded size, so the links of a vector are counted in full however large its
-group is.
+are compared: small components together, a large one in tiles, each a single row, that meet tile by tile,
+so the links of a vector are counted in full however large its group is.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .vectors import as_rows, finite, matrix
 
 #: Passes that are sorted in one job: what bounds the disk that the shuffles take.
 AT_ONCE = 4
-TILE = 512
+#: Rows of a tile of the windows, and of a large component.
+TILE, PACKED = 512, 2048
 #: Rows of a block, which a task holds two of, and of a cell, which has a centre and a radius.
 BLOCK, CELL = 4096, 256
 #: What rounding can add to a distance between unit vectors, with room to spare.
@@ -75,6 +76,15 @@ def near(centre: np.ndarray, radius: np.ndarray, centres: np.ndarray, radii: np.
     return np.sqrt(np.maximum(squares, 0)) <= radius[:, None] + radii[None, :] + reach
 
 
+def passes_for(n: int, window: int, threshold: float, miss: float) -> int:
+    """Passes after which two vectors at the threshold, among ``n`` that lie about evenly around the mean,
+    have met in a window but for a probability of ``miss``: they agree in a hash with probability
+    1 - angle / pi and meet in one pass if they agree in log2(n / window) hashes. At least 4."""
+    agree = 1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi
+    meet = agree ** max(0.0, np.log2(max(n, 1) / window))
+    return max(4, int(np.ceil(np.log(miss) / np.log1p(-min(meet, 1 - 1e-9)))))
+
+
 def bridges(rows: DataFrame, means: dict[int, np.ndarray], folder: str, threshold: float) -> DataFrame:
     """``a, b``: the roots of each two components that a link joins, from ``rows(dim, node, root, v)``.
 
@@ -179,7 +189,7 @@ def _by_dim(dims: np.ndarray):
         yield int(dim), np.flatnonzero(dims == dim)
 
 
-def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding", passes: int = 24, window: int = 64) -> DataFrame:
+def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding", passes: int | None = None, window: int = 64, miss: float = 0.01) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
     Two rows are linked if their cosine, in double precision, is at least ``threshold``; none below
@@ -189,11 +199,11 @@ def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_colu
     own; among rows without an id component_id may be null, and they are kept then. Rows that repeat
     an id are rows of their own. An empty table gives an empty result; other columns don't matter.
 
-    Equal vectors are one class with a weight, so copies are never compared. A pair at the threshold
-    of 0.95 agrees in a hash with probability 0.90 and meets within the window in one pass if it
-    agrees in about log2(rows / window) of them. What ``passes`` and ``window`` miss is found by
-    ``bridges``, which is exact: they change the time, not the result. Where the vectors are so spread
-    out that no two cells can be told apart, that step compares all pairs of classes.
+    Equal vectors are one class with a weight, so copies are never compared. The number of ``passes``
+    follows from the number of classes (``passes_for``), so that it rises with the table's logarithm and
+    the share of pairs they miss does not: 11 for 50,000 classes, 39 for 100 million. What passes and
+    windows miss is found by ``bridges``, which is exact: they change the time, not the result. Where the
+    vectors are so spread out that no two cells can be told apart, that step compares all pairs of classes.
     """
     own = as_rows(vectors, id_column, vector_column)
     single = dict(own.dtypes)["v"] == "array<float>"
@@ -221,8 +231,12 @@ def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_colu
 
     means: dict[int, np.ndarray] = {}
     sums = points.mapInArrow(add_up, "dim int, at int, total double, n long").groupBy("dim", "at").agg(F.sum("total").alias("s"), F.sum("n").alias("n"))
+    n_classes: dict[int, int] = {}
     for r in sums.collect():
         means.setdefault(r["dim"], np.zeros(r["dim"]))[r["at"]] = round(r["s"] / r["n"], 9)
+        n_classes[r["dim"]] = r["n"]
+    if passes is None:
+        passes = passes_for(sum(n_classes.values()), window, threshold, miss)
 
     def hashed(some):
         def run(batches):
@@ -277,36 +291,68 @@ def components(vectors: DataFrame, folder: str, threshold: float = 0.95, id_colu
     if not missed.isEmpty():
         label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed), folder, "joined")
     sizes = label.groupBy("root").count().withColumnRenamed("root", "of")
-    # Small components share a task's group; the tiles of a large one meet pair by pair.
-    placed = label.join(written(sizes, folder, "sizes"), F.col("root") == F.col("of"))
-    placed = placed.withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    placed = label.join(written(sizes, folder, "sizes"), F.col("root") == F.col("of")).select("node", "root", "count")
     total = label.count()
-    lots = max(1, total // TILE)
-    placed = placed.withColumn("lot", F.when(F.col("tiles") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(lots))))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = written(placed.select("lot", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root"), folder, "placed")
-    tiles = placed.join(classes.select(F.col("node").alias("of"), "weight", "v"), F.col("node") == F.col("of")).drop("of")
+    lots = max(1, total // PACKED)
+    placed = placed.withColumn("tiles", F.ceil(F.col("count") / PACKED).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    # Small components share a lot, which is compared as it is; a tile of a large one becomes one row.
+    lot = F.when(F.col("tiles") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(lots)))
+    placed = written(placed.select(lot.alias("lot"), "tiles", "tile", "node", "root"), folder, "placed")
+    rows = placed.join(classes.select(F.col("node").alias("of"), "weight", "v"), F.col("node") == F.col("of")).drop("of")
 
     def count(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        node, root, tile, weight = (group.column(c).to_numpy() for c in ("node", "root", "tile", "weight"))
+        node, root, weight = (group.column(c).to_numpy() for c in ("node", "root", "weight"))
         v = group.column("v").combine_chunks()
         linked_weight = np.zeros(len(node), np.int64)
-        mixed = group.column("lot")[0].as_py() < 0
-        apart = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        order = np.argsort(root, kind="stable") if mixed else np.arange(len(node))
-        cuts = np.flatnonzero(np.diff(root[order])) + 1 if mixed else []
-        for at in np.split(order, cuts):
+        order = np.argsort(root, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
             units = unit(matrix(v.take(pa.array(at)), len(v[int(at[0])])))
             linked = units @ units.T >= threshold
             np.fill_diagonal(linked, False)
-            if apart:
-                linked &= tile[at][:, None] != tile[at][None, :]
             linked_weight[at] = linked @ weight[at]
         return pa.table({"node": node, "links": linked_weight})
 
-    counted = tiles.groupBy("lot", "i", "j").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    counted = written(counted, folder, "counted")
+    small = rows.where("tiles = 1").select("lot", "node", "root", "weight", "v").groupBy("lot").applyInArrow(count, "node long, links long")
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, group.schema) as file:
+            file.write_table(group)
+        return pa.table({"lot": group.column("lot")[:1], "tiles": group.column("tiles")[:1], "tile": group.column("tile")[:1], "data": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    tiles = rows.where("tiles > 1").select("lot", "tiles", "tile", "node", "weight", "v")
+    tiles = written(tiles.groupBy("lot", "tile").applyInArrow(pack, "lot long, tiles int, tile int, data binary"), folder, "tiles")
+    # Each tile meets itself first and then each other tile of its component: a task holds two at a time and
+    # the counts of the first.
+    meets = tiles.select(F.col("lot").alias("at"), F.col("tile").alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    meets = meets.join(tiles, (F.col("at") == F.col("lot")) & (F.col("other") == F.col("tile"))).select("lot", "own", (F.col("own") != F.col("other")).alias("apart"), "other", "data")
+    meets = meets.repartition(parts, "lot", "own").sortWithinPartitions("lot", "own", "apart", "other")
+
+    def opened(data: bytes):
+        held = pa.ipc.open_stream(pa.py_buffer(data)).read_all().combine_chunks()
+        v = held.column("v").combine_chunks()
+        return held.column("node").to_numpy(), held.column("weight").to_numpy(), unit(matrix(v, len(v[0])))
+
+    def meet(batches):
+        node = units = counts = None
+        result = lambda: pa.RecordBatch.from_arrays([pa.array(node), pa.array(counts)], names=["node", "links"])
+        for batch in batches:
+            for apart, data in zip(batch.column("apart").to_pylist(), batch.column("data")):
+                other, weight, theirs = opened(data.as_buffer())
+                if not apart:
+                    if node is not None:
+                        yield result()
+                    node, units, counts = other, theirs, np.zeros(len(other), np.int64)
+                linked = units @ theirs.T >= threshold
+                if not apart:
+                    np.fill_diagonal(linked, False)
+                counts += linked @ weight
+        if node is not None:
+            yield result()
+
+    counted = written(small.unionByName(meets.mapInArrow(meet, "node long, links long")), folder, "counted")
     named = classes.select("node", "key", "id", "weight").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "key", "id", "weight", F.coalesce("root", "node").alias("root"))
     named = named.join(counted.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "id", "root", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     named = written(named, folder, "named")
