@@ -70,6 +70,30 @@ def test_greedy_shards(spark):
         corpus.greedy_shards(frame, 0)
 
 
+def folded(sizes, cap):
+    """The rule as it reads, one document after another."""
+    shard = used = 0
+    out = []
+    for n in sizes:
+        if used and used + n > cap:
+            shard, used = shard + 1, 0
+        out.append(shard)
+        used += n
+        if used >= cap:
+            shard, used = shard + 1, 0
+    return out
+
+
+@pytest.mark.parametrize("fill", [1, 2, 7, 256])
+def test_greedy_shards_in_blocks_are_the_fold(spark, monkeypatch, fill):
+    monkeypatch.setattr(corpus, "FILL", fill)
+    rng = random.Random(fill)
+    sizes = [rng.choice([1, 2, 30, 50, 99, 100, 101, 350]) if rng.random() < 0.5 else rng.randrange(1, 60) for _ in range(600)] + [1] * 400 + [100] * 5 + [1200, 1, 1]
+    frame = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long").withColumn("position", F.col("doc_id"))
+    found = {r.doc_id: r.shard_id for r in corpus.greedy_shards(frame.repartition(5), 100).collect()}
+    assert [found[i] for i in range(len(sizes))] == folded(sizes, 100)
+
+
 def sequential(rows):
     kept_exact, kept_bands, out = set(), set(), {}
     for d, text in rows:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
-from tracewright.operators import checks, counts, information, predictive
+from tracewright.operators import checks, counts, drift, information, predictive, validation
 from tracewright.plans import score_queries, trace_queries
 
 
@@ -15,11 +15,13 @@ def slots_of(spark, sets, layer=0):
 
 
 def test_hand_computed_recall(spark):
-    # six experts, k = 2, every row ranks 0..5; hits at 2, 4, 6 add up to 9, 14, 20 of 20 slots
-    truth = [[0, 1], [0, 2], [2, 3], [4, 5], [1, 0], [0, 4], [3, 4], [1, 2], [5, 4], [0, 1]]
-    rows = spark.createDataFrame([(0, [6.0, 5.0, 4.0, 3.0, 2.0, 1.0], t) for t in truth], "layer int, scores array<double>, truth array<int>")
-    found = {r.m: (r.recall, r.exact_match) for r in predictive.recall_curve(rows, ["layer"], 2, 6).collect()}
-    assert found == {2: (pytest.approx(0.45), pytest.approx(0.3)), 4: (pytest.approx(0.7), pytest.approx(0.3)), 6: (pytest.approx(1.0), pytest.approx(0.3))}
+    """Five experts, k = 2, three rows worked out by hand. By score: 3 1 4 0 2; 0 2 1 4 3; 2 4 0 3 1.
+    Hits among the first two: 3 of {3, 4}; 0 and 2 of {2, 0}; none of {0, 1}: 1 + 2 + 0 of 6 slots.
+    Among the first four: 3, 4; 2, 0; 0 alone: 5 of 6. All five hold every slot. One set of three is equal."""
+    rows = [(0, [0.2, 0.7, 0.1, 0.9, 0.3], [3, 4]), (0, [8.0, 3.0, 5.0, 0.0, 1.0], [2, 0]), (0, [-2.0, -7.0, 4.0, -3.0, 0.5], [0, 1])]
+    found = {r.m: (r.recall, r.exact_match) for r in predictive.recall_curve(spark.createDataFrame(rows, "layer int, scores array<double>, truth array<int>"), ["layer"], 2, 5).collect()}
+    third = pytest.approx(1 / 3)
+    assert found == {2: (pytest.approx(1 / 2), third), 4: (pytest.approx(5 / 6), third), 5: (pytest.approx(1.0), third)}
 
 
 def test_budgets_are_capped_and_distinct():
@@ -144,3 +146,31 @@ def test_strata_leave_unseen_tokens_apart_and_the_query_has_none(spark):
     found = {r.bucket: r.n_slots for r in counts.strata(rows, counts.frequency_buckets(seen, 3), ["layer"]).collect()}
     assert found == {-1: 1, 0: 1, 1: 1, 2: 1}
     assert {r.bucket for r in trace_queries.f1_frequency_strata(spark, "/root/testdata/sf0.001").collect()} == set(range(5))
+
+
+def test_margin_edges_are_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    sets = {0: rng.exponential(size=3000), 1: rng.integers(0, 4, 500) / 4.0, 2: np.array([0.5])}
+    frame = spark.createDataFrame([(k, float(x)) for k, v in sets.items() for x in v], "layer int, margin double")
+    found = {r.layer: r.edges for r in drift.margin_edges(frame.repartition(5), parts=16).collect()}
+    for k, v in sets.items():
+        expect = list(dict.fromkeys(np.quantile(v, drift.MARGIN_QUANTILES).round(12)))
+        assert np.round(found[k], 12).tolist() == pytest.approx(expect)
+
+
+@pytest.mark.parametrize("buckets, types", [(10, 37), (5, 5), (4, 2), (3, 9)])
+def test_frequency_buckets_are_parts_of_the_order(spark, buckets, types):
+    rows = [(t * 40_000,) for t in range(types) for _ in range(1 + (t * 7) % 5)]
+    found = {r.token_id: r.bucket for r in counts.frequency_buckets(spark.createDataFrame(rows, "token_id long"), buckets).collect()}
+    order = sorted(range(types), key=lambda t: (1 + (t * 7) % 5, t))
+    parts = np.array_split(np.array(order), buckets)
+    assert found == {int(t) * 40_000: k for k, part in enumerate(parts) for t in part}
+
+
+def test_rows_out_of_order_are_counted_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(validation, "SPAN", 10)
+    index = [*range(25), 20, 21, 22, 22, *range(23, 60), 5]
+    frame = spark.createDataFrame(list(enumerate(index)), "row_id long, idx long")
+    found = validation.ascending(frame.repartition(4), "idx", F.lit(0), "row_id").first()
+    assert (found["n"], found["not_ascending"]) == (len(index), sum(b <= a for a, b in zip(index, index[1:])))
+    assert validation.ascending(frame, "idx", F.lit(0)).first()["not_ascending"] == len(index) - len(set(index))

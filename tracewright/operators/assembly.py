@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .corpus import Source, cleaned, duplicate_keys, first_of_kind, order_key, token_targets
-from .tables import kept, running
+from .tables import dealt, kept, running
 
 DRIFT = 0.02
 
@@ -42,6 +42,9 @@ def assemble(docs: DataFrame, total: int, sources: Sequence[Source], langs: dict
     what they lack goes to their domain's volume sources by weight.
     """
     budgets = token_targets(total, sources)
+    # Cleaned and keyed once for all units, and dealt so that each unit reads its own rows.
+    docs = docs if "row" in docs.columns else docs.withColumn("row", F.col("doc_id"))
+    docs = dealt(cleaned(docs, least, most, normalise).withColumn("keys", duplicate_keys(F.col("clean"))).drop("text"), ["source", "lang"])
     delivered: list[DataFrame] = []
     reports, problems = [], []
     index: DataFrame | None = None
@@ -49,8 +52,7 @@ def assemble(docs: DataFrame, total: int, sources: Sequence[Source], langs: dict
 
     def visit(source: Source, lang: str | None, budget: int, unit: DataFrame, languages: int) -> None:
         nonlocal index
-        c = cleaned(unit, least, most, normalise).withColumn("keys", duplicate_keys(F.col("clean")))
-        c = kept(c.withColumn("at", F.col("row") if source.control else F.col("doc_id")))
+        c = unit.withColumn("at", F.col("row") if source.control else F.col("doc_id"))
         fine = c.where("reason IS NULL")
         if source.control:
             whole = fine.groupBy("at").agg(F.countDistinct("lang").alias("n")).where(F.col("n") == languages).select("at")
@@ -88,7 +90,7 @@ def assemble(docs: DataFrame, total: int, sources: Sequence[Source], langs: dict
         for i, lang in enumerate(order):
             left = budgets[source.name] * (i + 1) // len(order) - got[source.name]
             if left > 0:
-                unit = docs.where((F.col("source") == source.name) & (F.col("lang") == lang)).withColumn("row", F.col("doc_id"))
+                unit = docs.where((F.col("source") == source.name) & (F.col("lang") == lang))
                 visit(source, lang, left, unit, 1)
         if got[source.name] < budgets[source.name]:
             problems.append(f"{source.name} ran dry at {got[source.name]} of {budgets[source.name]} tokens")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -213,32 +213,96 @@ def interleaved(docs: DataFrame, seed: int = 0) -> DataFrame:
     return d.drop("_key", "_before", "_total", "_all")
 
 
+#: Shards' worth of tokens in a block of the greedy fill.
+FILL = 256
+
+
+def _fill(sizes: np.ndarray, cap: int, shard: int, used: int) -> np.ndarray:
+    """Shard numbers of documents in order: each goes to the open shard unless that holds something and
+    would pass ``cap``; a shard that reaches it is closed. ``used`` tokens of shard ``shard`` are taken."""
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    out, i = np.empty(len(sizes), np.int64), 0
+    while i < len(sizes):
+        room = start[i] - used + cap
+        # The first document, from the second of a new shard on, whose end passes the room or whose start fills it.
+        stop = min(int(np.searchsorted(start[1:], room, side="right")), int(np.searchsorted(start[:-1], room, side="left")))
+        stop = max(stop, i + (used == 0))
+        out[i:stop] = shard
+        i, shard, used = stop, shard + 1, 0
+    return out
+
+
+def _ways(sizes: np.ndarray, cap: int) -> tuple[int, int, list[int], list[int], list[int], int]:
+    """How a block turns the tokens that are taken on entry into those taken on exit. Begun anew it opens
+    ``more`` shards beyond the first and ends with ``used`` taken. Else the open shard is left at the first
+    document whose least number, falling from one to the next, is at most the tokens taken: for each such
+    document the least number, the shards opened after that one, and the tokens taken at the end."""
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    n, total = len(sizes), int(start[-1])
+    after = np.minimum(np.searchsorted(start[1:], start[:-1] + cap, side="right"), np.searchsorted(start[:-1], start[:-1] + cap, side="left"))
+    after = np.maximum(after, np.arange(1, n + 1)).tolist()
+    more, used = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        if after[i] < n:
+            more[i], used[i] = 1 + more[after[i]], used[after[i]]
+        elif total - int(start[i]) >= cap:
+            more[i] = 1
+        else:
+            used[i] = total - int(start[i])
+    least = np.minimum(cap - start[1:] + 1, cap - start[:-1])
+    reach = int(np.argmax(least <= 1)) + 1 if (least <= 1).any() else n
+    return more[0], used[0], least[:reach].tolist(), more[:reach], used[:reach], total
+
+
 def greedy_shards(ordered: DataFrame, shard_tokens: int, position: str = "position") -> DataFrame:
     """``doc_id, n_tokens, shard_id``: documents in order fill a shard until the next would pass its size;
     one that reaches it closes the shard; none is split.
 
-    Where a shard begins depends on all before it, so this is one ordered pass: it streams (position,
-    doc_id, n_tokens) through one task with two numbers of state and never holds more than a batch.
+    Where a shard begins depends on all before it, but a block of documents can be summed up without
+    knowing that: on entry only the tokens taken from the open shard matter, and they only decide at which
+    of the block's first few documents that shard is left. Blocks of FILL shards' worth of tokens are summed
+    up side by side, one task walks through the sums, one row a block, and the blocks are then filled side
+    by side. A block holds (position, id, size) of its documents.
     """
     if shard_tokens <= 0:
         raise Refused("shard_tokens must be positive")
-    rows = ordered.select(F.col(position).alias("_at"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+    rows = ordered.select(F.col(position).alias("_at"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).withColumn("_all", F.lit(0))
+    rows = running(rows, ["_all"], F.floor(F.col("_at") / 65536), ["_at"], F.col("n_tokens"), "_before")
+    rows = kept(rows.withColumn("block", F.floor(F.col("_before") / (FILL * shard_tokens))).drop("_all", "_before"))
+
+    def sum_up(block: pd.DataFrame) -> pd.DataFrame:
+        sizes = block.sort_values("_at")["n_tokens"].to_numpy()
+        return pd.DataFrame([(int(block["block"].iloc[0]), *_ways(sizes, shard_tokens))], columns=["block", "more", "used", "least", "mores", "useds", "total"])
+
+    ways = rows.groupBy("block").applyInPandas(sum_up, "block long, more long, used long, least array<long>, mores array<long>, useds array<long>, total long")
 
-    def fold(batches):
+    def walk(batches):
         shard = used = 0
         for batch in batches:
             out = []
-            for n in batch.column(2).to_pylist():
-                if used and used + n > shard_tokens:
-                    shard, used = shard + 1, 0
-                out.append(shard)
-                used += n
-                if used >= shard_tokens:
-                    shard, used = shard + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "n_tokens", "shard_id"])
+            for row in batch.itertuples():
+                out.append((row.block, shard, used))
+                if not used:
+                    shard, used = shard + row.more, row.used
+                    continue
+                left = next((k for k, least in enumerate(row.least) if used >= least), None)
+                if left is not None:
+                    shard, used = shard + 1 + int(row.mores[left]), int(row.useds[left])
+                else:
+                    used += row.total
+                    if used >= shard_tokens:
+                        shard, used = shard + 1, 0
+            yield pd.DataFrame(out, columns=["block", "shard", "used"])
+
+    entries = kept(kept(ways).repartitionByRange(1, "block").sortWithinPartitions("block").mapInPandas(walk, "block long, shard long, used long"))
+
+    def fill(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_at")
+        shard = _fill(block["n_tokens"].to_numpy(), shard_tokens, int(block["shard"].iloc[0]), int(block["used"].iloc[0]))
+        return pd.DataFrame({"doc_id": block["doc_id"], "n_tokens": block["n_tokens"], "shard_id": shard})
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.repartitionByRange(1, "_at").sortWithinPartitions("_at").mapInArrow(fold, f"doc_id {kind}, n_tokens long, shard_id long")
+    return rows.join(entries, "block").groupBy("block").applyInPandas(fill, f"doc_id {kind}, n_tokens long, shard_id long")
 
 
 def shard_table(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .information import marginal, slot_counts
+from .tables import running
 
 #: The smoothing grid, in the order in which ties are resolved.
 ALPHAS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0)
@@ -86,14 +87,23 @@ def f1_cross_entropy(train: DataFrame, test: DataFrame, alpha: DataFrame, keys:
 
 
 def frequency_buckets(tokens: DataFrame, buckets: int = 10, token: str = "token_id") -> DataFrame:
-    """``token, bucket``: token types by frequency (then token) in equal parts, the larger parts first."""
+    """``token, bucket``: token types by frequency (then token) in equal parts, the larger parts first.
+
+    The order is cut by frequency and the token's leading part, so that no task orders the vocabulary and
+    not even the many tokens that occur once."""
     types = tokens.groupBy(token).agg(F.count("*").alias("freq"))
-    return types.select(token, (F.ntile(buckets).over(Window.orderBy("freq", token)) - 1).alias("bucket"))
+    lead = F.substring(token, 1, 3) if dict(types.dtypes)[token] == "string" else F.floor(F.col(token) / 65536)
+    ranked = running(types.withColumn("_all", F.lit(0)), ["_all"], F.struct(F.col("freq"), lead.alias("lead")), ["freq", token], F.lit(1), "rank")
+    total = types.agg(F.count("*").alias("total"))
+    size, larger = F.floor(F.col("total") / buckets), F.col("total") % buckets
+    early = larger * (size + 1)
+    bucket = F.when(F.col("rank") < early, F.floor(F.col("rank") / (size + 1))).otherwise(larger + F.floor(F.try_divide(F.col("rank") - early, size)))
+    return ranked.join(F.broadcast(total), F.lit(True)).select(token, bucket.cast("int").alias("bucket"))
 
 
 def strata(rows: DataFrame, buckets: DataFrame, keys: Sequence[str], token: str = "token_id") -> DataFrame:
     """``*keys, bucket, n_slots, cross_entropy_bits``; tokens without a bucket are in bucket -1."""
-    joined = rows.join(F.broadcast(buckets), token, "left").withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
+    joined = rows.join(buckets, token, "left").withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
     return _weighted(joined, [*keys, "bucket"])
 
 

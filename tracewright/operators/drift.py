@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from .checks import COULD_NOT_RUN, FAILED, PASSED, Refused
+from .tables import running
 
 #: Quantiles at which margins are binned, the gate's floor, and the bands of the mean.
 MARGIN_QUANTILES = (0.0, 0.05, 0.2, 0.5, 0.8, 1.0)
@@ -39,10 +40,27 @@ def per_layer(pairs: DataFrame) -> DataFrame:
     )
 
 
-def margin_edges(pairs: DataFrame) -> DataFrame:
-    """``layer, edges``: the margin quantiles, equal ones folded."""
-    q = F.percentile("margin", F.array(*[F.lit(x) for x in MARGIN_QUANTILES]))
-    return pairs.groupBy("layer").agg(F.array_distinct(q).alias("edges"))
+def margin_edges(pairs: DataFrame, parts: int = 256) -> DataFrame:
+    """``layer, edges``: the exact margin quantiles (linear between neighbours), equal ones folded.
+
+    A quantile needs the two values beside its place. Margins are ranked within ``parts`` ranges, whose
+    bounds are approximate quantiles, so no task orders or holds a layer's margins.
+    """
+    rows = pairs.where("margin IS NOT NULL").select("layer", "margin")
+    shares = [k / parts for k in range(1, parts)]
+    cuts = rows.groupBy("layer").agg(F.percentile_approx("margin", shares, 10 * parts).alias("cuts"), F.count("*").alias("n"))
+    rows = rows.join(F.broadcast(cuts), "layer")
+    # The first bound that is not below the margin; equal margins are in one range only.
+    counted = rows.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("margin")))).groupBy("layer", "n", "part", "margin").agg(F.count("*").alias("times"))
+    ranked = running(counted, ["layer"], F.col("part"), ["margin"], F.col("times"), "before")
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(MARGIN_QUANTILES)])).alias("p")
+    wanted = ranked.select("layer", "n", "margin", "before", "times", place).select("*", "p.i", ((F.col("n") - 1) * F.col("p.q")).alias("at"))
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("times"))
+    low, high = F.floor("at"), F.ceil("at")
+    found = wanted.where(holds(low) | holds(high)).groupBy("layer", "i", "at").agg(F.min("margin").alias("a"), F.max("margin").alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    edges = found.groupBy("layer").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"])).alias("edges"))
+    return edges
 
 
 def margin_bin(margin: Column, edges: Column) -> Column:

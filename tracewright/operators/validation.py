@@ -27,12 +27,23 @@ def contiguity(tokens: DataFrame) -> DataFrame:
     return t.agg(F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n_tokens"), F.count_if(F.col("pos") != F.coalesce(F.col("before") + 1, F.lit(0))).alias("out_of_step"))
 
 
+#: Rows of the order that a window spans.
+SPAN = 1 << 16
+
+
 def ascending(rows: DataFrame, index: str, shard: Column, order: str | None = None) -> DataFrame:
     """``shard, n, not_ascending``: rows whose index is not above that of the row before, in the order
-    of ``order`` (the index itself by default, which finds repeats)."""
-    r = rows.withColumn("shard", shard)
-    r = r.withColumn("before", F.lag(index).over(Window.partitionBy("shard").orderBy(order or index)))
-    return r.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col(index) <= F.col("before")).alias("not_ascending"))
+    of the number ``order`` (the index itself by default, which finds repeats).
+
+    Rows are compared within ranges of SPAN places of the order, and the last row of a range with the
+    first of the next by one row per range.
+    """
+    at = order or index
+    r = rows.select(F.col(index).alias("index"), F.col(at).alias("at"), shard.alias("shard")).withColumn("part", F.floor(F.col("at") / SPAN))
+    inside = r.withColumn("before", F.lag("index").over(Window.partitionBy("shard", "part").orderBy("at", "index")))
+    ends = inside.groupBy("shard", "part").agg(F.count("*").alias("n"), F.count_if(F.col("index") <= F.col("before")).alias("off"), F.min(F.struct("at", "index")).alias("first"), F.max(F.struct("at", "index")).alias("last"))
+    ends = ends.withColumn("before", F.lag("last.index").over(Window.partitionBy("shard").orderBy("part")))
+    return ends.groupBy("shard").agg(F.sum("n").alias("n"), (F.sum("off") + F.count_if(F.col("first.index") <= F.col("before"))).alias("not_ascending"))
 
 
 def on_stride(doc: Column, pos: Column, span: int, stride: int) -> Column:

@@ -131,6 +131,22 @@ def near_duplicates_first_kept(spark, d):
     return corpus.first_kept(_corpus(spark, d))
 
 
+# The rule as it reads: documents in order, with the keys of those kept so far.
+FIRST_KEPT_SQL = with_views(
+    f"""WITH {_SKETCH},
+  k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.doc_id) AS i, c.doc_id, md5(c.text) AS digest, bands FROM corpus c JOIN bs ON bs.doc_id = c.doc_id),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS digests, CAST([] AS VARCHAR[]) AS held
+    UNION ALL
+    SELECT i, doc_id, reason, CASE WHEN reason IS NULL THEN list_append(digests, digest) ELSE digests END, CASE WHEN reason IS NULL THEN list_concat(held, bands) ELSE held END FROM (
+      SELECT k.i, k.doc_id, k.digest, k.bands, w.digests, w.held,
+        CASE WHEN list_contains(w.digests, k.digest) THEN 'duplicate_exact' WHEN list_has_any(w.held, k.bands) THEN 'duplicate_near' END AS reason
+      FROM walk w JOIN k ON k.i = w.i + 1))
+  SELECT doc_id, reason FROM walk WHERE i > 0""",
+    "corpus",
+).replace("WITH corpus", "WITH RECURSIVE corpus", 1)
+
+
 def budget_fill(spark, d):
     return corpus.budget_fill(_light(spark, d), 3000).select("source", "lang", "doc_id", "before")
 
@@ -272,6 +288,6 @@ QUERIES = {
 ORACLE_SQL = {
     "reference_tokens": REFERENCE_SQL, "normalise_lines": NORMALISE_SQL, "normalise_whitespace": NORMALISE_SQL, "truncate_reference_tokens": TRUNCATE_SQL,
     "length_bounds_reasons": REASONS_SQL, "drop_report": REPORT_SQL, "script_fraction": SCRIPT_SQL, "shingle_signature": SIGNATURE_SQL, "lsh_bands": BANDS_SQL,
-    "exact_duplicates": EXACT_SQL, "budget_fill": BUDGET_SQL, "parallel_row_alignment": PARALLEL_SQL, "doc_split_assignment": SPLIT_SQL, "split_counts": SPLIT_COUNTS_SQL,
+    "exact_duplicates": EXACT_SQL, "near_duplicates_first_kept": FIRST_KEPT_SQL, "budget_fill": BUDGET_SQL, "parallel_row_alignment": PARALLEL_SQL, "doc_split_assignment": SPLIT_SQL, "split_counts": SPLIT_COUNTS_SQL,
     "interleave_order": ORDER_SQL, "greedy_shards": GREEDY_SQL, "shard_table": SHARD_TABLE_SQL, "realized_shares": SHARES_SQL, "byte_budget_ladder": LADDER_SQL,
 }

@@ -76,12 +76,17 @@ def router_recheck(spark, d):
 
 
 def corpus_assembly(spark, d):
-    """Documents delivered from three volume sources and one control, by source and language."""
-    names = {"src5": "math", "src9": "prose", "src0": "code", "src6": "multilingual", "src7": "multilingual"}
-    docs = frame(spark, d, "documents").where(F.col("source").isin(*names)).withColumn("row", F.col("doc_id"))
-    sources = [corpus.Source("src9", "prose", 1), corpus.Source("src0", "code", 1), corpus.Source("src5", "math", 1), corpus.Source("src6", "multilingual", 4), corpus.Source("src7", "multilingual", 1, control=True)]
-    langs = {n: ["en", "fr"] for n in names} | {"src7": ["en"]}
-    out, _, _ = assembly.assemble(docs.where("source <> 'src7' OR lang = 'en'"), 40_000, sources, langs, 24, 512, normalise=T.normalise_lines)
+    """Documents delivered from four volume sources and one control, by source and language. Every document
+    belongs to one of the five by its id, with the languages that there are."""
+    names = ("math", "prose", "code", "volume", "parallel")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    docs = frame(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), name.alias("source"))
+    # Rows of the control are translations of one text: here four documents that follow one another.
+    docs = docs.withColumn("row", F.when(F.col("source") == "parallel", F.floor(F.col("doc_id") / 200)).otherwise(F.col("doc_id")))
+    found = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    sources = [corpus.Source(n, n, 1) for n in names[:3]] + [corpus.Source("volume", "multilingual", 4), corpus.Source("parallel", "multilingual", 1, control=True)]
+    total = max(1, int(docs.agg(F.sum(T.reference_tokens(F.col("text")))).first()[0] or 0) // 2)
+    out, _, _ = assembly.assemble(docs, total, sources, {n: found for n in names}, 24, 512, normalise=T.normalise_lines)
     return out.groupBy("domain", "source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 

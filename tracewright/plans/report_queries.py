@@ -195,24 +195,24 @@ CONFLICTS_SQL = """SELECT 'n_experts' AS field, count(DISTINCT n_regionkey % 2)
 
 
 def overhead_ratio(spark, d):
-    t = frame(spark, d, "supplier").where("s_suppkey <= 9").select(F.element_at(F.array(F.lit("no-callback"), F.lit("filter-off"), F.lit("full")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("mode"), (F.lit(200.0) + F.col("s_suppkey") * 7 + F.col("s_suppkey") % 3 * 11).alias("tok_per_s"))
+    t = frame(spark, d, "supplier").select(F.element_at(F.array(F.lit("no-callback"), F.lit("filter-off"), F.lit("full")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("mode"), (F.lit(200.0) + F.col("s_suppkey") * 7 + F.col("s_suppkey") % 3 * 11).alias("tok_per_s"))
     o = reports.overhead(t)
     return o.select(*[rounded(F.col(c)).alias(c) for c in ("observability", "readback", "total", "worst_spread")], "conclusive")
 
 
-OVERHEAD_SQL = """WITH t AS (SELECT ['no-callback', 'filter-off', 'full'][s_suppkey % 3 + 1] AS mode, 200.0::DOUBLE + s_suppkey * 7 + s_suppkey % 3 * 11 AS r FROM supplier WHERE s_suppkey <= 9),
+OVERHEAD_SQL = """WITH t AS (SELECT ['no-callback', 'filter-off', 'full'][s_suppkey % 3 + 1] AS mode, 200.0::DOUBLE + s_suppkey * 7 + s_suppkey % 3 * 11 AS r FROM supplier),
   m AS (SELECT mode, quantile_cont(r, 0.5) AS med, CASE WHEN count(*) < 2 THEN 0 ELSE (max(r) - min(r)) / 2 / quantile_cont(r, 0.5) END AS spread FROM t GROUP BY mode),
   o AS (SELECT max(med) FILTER (mode = 'no-callback') AS n, max(med) FILTER (mode = 'filter-off') AS f, max(med) FILTER (mode = 'full') AS u, max(spread) AS w FROM m)
   SELECT round(n / f, 9) AS observability, round(f / u, 9) AS readback, round(n / u, 9) AS total, round(w, 9) AS worst_spread, abs(n / u - 1) > 2 * w AS conclusive FROM o"""
 
 
 def gate_q1(spark, d):
-    rates = frame(spark, d, "supplier").where("s_suppkey <= 6").select(F.col("s_name").alias("model"), F.when(F.col("s_suppkey") == 1, "scale").when(F.col("s_suppkey") <= 3, "addition").otherwise("primary").alias("role"), (F.lit(80.0) + F.col("s_suppkey") * 9).alias("tok_per_s"))
+    rates = frame(spark, d, "supplier").select(F.col("s_name").alias("model"), F.when(F.col("s_suppkey") == 1, "scale").when(F.col("s_suppkey") <= 3, "addition").otherwise("primary").alias("role"), (F.lit(80.0) + F.col("s_suppkey") * 9).alias("tok_per_s"))
     g = reports.gate_hours(rates, overhead_ratio=1.25)
     return g.select(rounded(F.col("hours")).alias("hours"), "budget", "passed", rounded(F.col("reduced_hours")).alias("reduced_hours"), "reduced_fits")
 
 
-GATE_SQL = """WITH h AS (SELECT sum(CASE WHEN s_suppkey = 1 THEN 4000000 ELSE 1000000 END / (80.0::DOUBLE + s_suppkey * 9) * 1.25::DOUBLE / 3600) AS hours FROM supplier WHERE s_suppkey <= 6)
+GATE_SQL = """WITH h AS (SELECT sum(CASE WHEN s_suppkey = 1 THEN 4000000 ELSE 1000000 END / (80.0::DOUBLE + s_suppkey * 9) * 1.25::DOUBLE / 3600) AS hours FROM supplier)
   SELECT round(hours, 9) AS hours, 18.0::DOUBLE AS budget, hours <= 18 AS passed, round(hours / 2, 9) AS reduced_hours, hours / 2 <= 18 AS reduced_fits FROM h"""
 
 QUERIES = {

@@ -220,7 +220,7 @@ def multi_hot_rows(spark, d):
     return rows.select("token", F.array_join(hot.cast("array<string>"), "").alias("hot"))
 
 
-MULTI_HOT_SQL = f"""WITH {_ROWS}, {_TOP} SELECT token, string_agg(CASE WHEN ra <= 8 THEN '1' ELSE '0' END, '' ORDER BY e) AS hot FROM ranked WHERE token % 10 = 0 GROUP BY token"""
+MULTI_HOT_SQL = f"""WITH {_ROWS}, {_TOP} SELECT token, string_agg(CASE WHEN ra <= 8 THEN '1' ELSE '0' END, '' ORDER BY e) AS hot FROM ranked GROUP BY token"""
 
 QUERIES = {
     "topm_recall_curve": topm_recall_curve, "exact_set_vs_sequence": exact_set_vs_sequence, "rank_average": rank_average, "spearman_by_row": spearman_by_row,

@@ -127,7 +127,7 @@ def dead_saturated_experts(spark, d):
 
 
 DEAD_SQL = with_views(
-    f"""WITH s AS (SELECT * FROM slots WHERE doc_id % 3 = 0 OR layer < 2),
+    f"""WITH s AS (SELECT * FROM slots),
          c AS (SELECT l.layer, e.expert, count(s.expert) AS n FROM (SELECT DISTINCT layer FROM s) l CROSS JOIN ({_SPINE}) e
                LEFT JOIN s ON s.layer = l.layer AND s.expert = e.expert GROUP BY ALL),
          u AS (SELECT *, sum(n) OVER (PARTITION BY layer) / 16.0::DOUBLE AS uniform FROM c)
@@ -253,7 +253,7 @@ def f1_frequency_strata(spark, d):
 
 F1_STRATA_SQL = with_views(
     f"""WITH {_SPLIT_CTES}, {_F1_TEST}, {_GRID}, {_BEST},
-  b AS (SELECT token_id, ntile(5) OVER (ORDER BY freq, token_id) - 1 AS bucket FROM (SELECT token_id, count(*) AS freq FROM tokens WHERE token_id % 11 <> 0 GROUP BY token_id))
+  b AS (SELECT token_id, ntile(5) OVER (ORDER BY freq, token_id) - 1 AS bucket FROM (SELECT token_id, count(*) AS freq FROM tokens GROUP BY token_id))
   SELECT s.layer, CAST(coalesce(bucket, -1) AS INT) AS bucket, count(*) AS n_slots, round(avg({_BITS}), 6) AS cross_entropy_bits
   FROM scored_test s JOIN best USING (layer) LEFT JOIN b ON b.token_id = s.token_id GROUP BY ALL""",
     "slots", "doc_splits",
