@@ -3,13 +3,14 @@ from executors, and connected components over a distributed link table."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir
+
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lowers the bytes of a batch between the JVM and Python workers for the session, where they have
@@ -35,14 +36,11 @@ def alone(name: str, clear: Callable) -> None:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``, removed when the driver's JVM ends.
 
-    The folder is the one that driver and executors share. Where the setting is absent (tests,
-    notebooks) a local temporary folder is made and recorded in the session's setting.
+    The folder is the one that driver and executors share. Where the setting is absent, a session in one
+    process gets a temporary folder and a cluster is refused (``shared_dir``).
     """
     small_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = shared_dir(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tracewright-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
