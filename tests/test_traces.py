@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import checks, drift, probes, reports, validation
 from tracewright.plans import probe_queries
 from tracewright.plans.views import frame
-from tracewright.sources import documents, traces
+from tracewright.sources import checkpoints, documents, traces
 from tracewright.streaming import ingest
 
 
@@ -213,9 +213,9 @@ def test_checkpoint_header(spark, tmp_path):
     for i, name in enumerate(("router.weight", "up.weight")):
         data += text(name) + struct.pack("<IQQIQ", 2, 8, 16, i, 64 * i)
     (tmp_path / "m.gguf").write_bytes(data + b"\0" * 100)
-    got = documents.read_headers(spark, f"file://{tmp_path}").orderBy("offset").collect()
+    got = checkpoints.read_headers(spark, f"file://{tmp_path}").orderBy("offset").collect()
     assert [(r.name, list(r.dims), r.type, r.offset) for r in got] == [("router.weight", [8, 16], 0, 0), ("up.weight", [8, 16], 1, 64)]
-    assert documents.file_digests(spark, f"file://{tmp_path}").count() == 1
+    assert checkpoints.file_digests(spark, f"file://{tmp_path}").count() == 1
     assert documents.canonical_hash({"b": 1, "a": [1, 2]}) == documents.canonical_hash({"a": [1, 2], "b": 1})
     assert documents.parse_shard_ids("0-2, 7") == [0, 1, 2, 7]
     with pytest.raises(checks.Refused):

@@ -116,10 +116,6 @@ def is_unspaced(text: Column) -> Column:
     return F.coalesce(class_fraction(text, UNSPACED) >= LEAST_UNSPACED, F.lit(False))
 
 
-def _windows(units: Column, size: int, join) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(units) - size + 1), lambda i: join(F.slice(units, i, size)))
-
-
 def signature(text: Column, digest=F.md5) -> Column:
     """The smallest digests of a text's shingles: of words, of characters for unspaced scripts and
     short texts, of the whole text where that is shorter than two shingles."""

@@ -130,9 +130,10 @@ def fit(kind: str, x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.nd
 
 
 def _targets(sets: pd.Series, n: int) -> np.ndarray:
+    sizes = sets.str.len().to_numpy()
     y = np.zeros((len(sets), n), np.float32)
-    for i, s in enumerate(sets):
-        y[i, s] = 1.0 / len(s)
+    if len(sets):
+        y[np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets.to_list()).astype(np.int64)] = np.repeat(1.0 / sizes, sizes)
     return y
 
 
@@ -179,7 +180,8 @@ def evaluate(rows: DataFrame, kind: str, n_experts: int, dense: bool = False, mo
                 k = truth.sum(axis=1)
                 bits = -np.log2((1 - EPSILON) * q + EPSILON * marginal, where=truth, out=np.zeros_like(q)).sum()
                 rank = np.lexsort((np.broadcast_to(np.arange(n_experts), q.shape), -q), axis=1)
-                hits = np.array([truth[i, rank[i, : k[i]]].sum() for i in range(len(q))])
+                # Of each row's ranking the first k places count, k by row.
+                hits = (np.take_along_axis(truth, rank, axis=1) & (np.arange(n_experts) < k[:, None])).sum(axis=1)
                 yield pd.DataFrame({"layer": [layer], "n": [len(q)], "slots": [int(k.sum())], "bits": [bits], "agreement": [(hits / k).sum()], "exact": [int((hits == k).sum())]})
 
     sums = test.select("layer", "features", "experts").mapInPandas(score, "layer int, n long, slots long, bits double, agreement double, exact long")

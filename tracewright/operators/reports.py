@@ -105,6 +105,15 @@ def pair_table(rows: DataFrame, axis: Sequence[str], a: str, b: str) -> DataFram
     return out.withColumn("delta", F.col("b") - F.col("a"))
 
 
+def framed(pairs: DataFrame, name: str, holds_fixed: Sequence[str], not_matched: Sequence[str], framing: str) -> DataFrame:
+    """``pair_table`` with what the pair holds fixed, what it does not match and how it may be read as
+    columns, so that a row that is copied keeps them. A pair without framing is refused."""
+    if not framing.strip():
+        raise Refused(f"pair {name} has no framing")
+    lists = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    return pairs.select(F.lit(name).alias("pair"), "*", lists(holds_fixed).alias("holds_fixed"), lists(not_matched).alias("not_matched"), F.lit(framing).alias("framing"))
+
+
 def confounds(panel: DataFrame, measured: DataFrame) -> DataFrame:
     """Measured load balance (mean over ``measured(model, load_balance)``) and the declared auxiliary loss,
     side by side and never one for the other; ``density`` is k over experts."""

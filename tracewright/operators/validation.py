@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from .checks import FAILED, PASSED
+from .checks import FAILED, PASSED, refuse_if_any, require_unique
+from .tables import running
 
 #: Merge-invariant fields: shards that differ in one belong to different experiments.
 INVARIANT = ("run_config_sha256", "logit_tensor_used", "gguf_sha256", "llama_cpp_commit", "quant", "n_experts", "checkpoint_status")
@@ -116,6 +117,76 @@ def conflicts(manifests: DataFrame, keys: Sequence[str] = INVARIANT) -> DataFram
     return manifests.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.field", "x.n_values").where("n_values > 1")
 
 
+#: Names of the index scheme and of the layouts that a capture records.
+INDEX_SCHEME, LAYOUT_MIXED, LAYOUT_NONE = "doc_id * n_ctx + pos_in_doc", "mixed", "none"
+#: Fields on which a capture's statistics and its manifest must agree.
+SHAPE = ("n_tokens", "n_moe_layers", "n_experts", "top_k", "hidden_dim")
+
+
+def capture_stats(manifests: DataFrame, stats: DataFrame) -> DataFrame:
+    """``shard_id, check, severity, message`` for what the capture's own statistics say against a shard.
+
+    ``manifests(shard_id, n_tokens, n_moe_layers, n_experts, top_k, hidden_dim, n_captured)`` and
+    ``stats`` with these, ``exit_code, topk_layout, n_docs_truncated, n_tokens_dropped,
+    first_truncated_doc, nodes_captured``; a shard without statistics gets a warning, as truncation then
+    can't be ruled out. Truncation and disagreement are errors, a capture that never met a layout or
+    whose nodes are no multiple of three per layer a warning.
+    """
+    s = stats.select("shard_id", F.struct(*[F.col(c) for c in stats.columns if c != "shard_id"]).alias("s"))
+    j = manifests.join(s, "shard_id", "left")
+    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nothing"))
+    finding = lambda when, severity, *parts: F.when(when, F.struct(F.lit(severity).alias("severity"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("message")))
+    there = F.col("s").isNotNull()
+    differs = lambda c: there & ~F.col(f"s.{c}").eqNullSafe(F.col(c))
+    truncated = there & ((F.coalesce("s.n_docs_truncated", F.lit(0)) > 0) | (F.coalesce("s.n_tokens_dropped", F.lit(0)) > 0))
+    layout = F.coalesce("s.topk_layout", F.lit(LAYOUT_NONE))
+    found = [
+        finding(~there, "warning", "no statistics: truncation can not be ruled out"),
+        finding(there & (F.coalesce("s.exit_code", F.lit(0)) != 0), "error", "the capture ended with ", say("s.exit_code")),
+        finding(truncated, "error", say("s.n_docs_truncated"), " documents cut, ", say("s.n_tokens_dropped"), " tokens lost, the first in document ", say("s.first_truncated_doc")),
+        finding(there & (layout == LAYOUT_MIXED), "error", "selections were read in two layouts"),
+        finding(there & (layout == LAYOUT_NONE), "warning", "no layout of the selections is recorded"),
+        finding(there & (F.coalesce("s.nodes_captured", F.lit(0)) % (3 * F.col("n_moe_layers")) != 0), "warning", say("s.nodes_captured"), " nodes are no multiple of three per layer"),
+        *[finding(differs(c), "error", f"{c} is ", say(f"s.{c}"), ", the manifest has ", say(c)) for c in (*SHAPE, "n_captured")],
+    ]
+    rows = j.select("shard_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
+    return rows.select("shard_id", F.lit("capture_stats").alias("check"), "f.severity", "f.message")
+
+
+def hidden_rows(tokens: DataFrame, index: DataFrame, span: int, step: int) -> DataFrame:
+    """``kind, n, first_index`` of each way in which the hidden index departs, row by row, from the tokens:
+    ``missing`` and ``extra`` rows against the stride, ``unflagged`` and ``flagged`` tokens whose mark
+    says otherwise, ``outside`` positions past the span, ``repeated`` index values.
+
+    ``tokens(doc_id, pos, captured)`` and ``index(value)``, where a value is doc_id * span + pos."""
+    t = tokens.select((F.col("doc_id") * span + F.col("pos")).alias("value"), F.coalesce("captured", F.lit(False)).alias("marked"), on_stride(F.col("doc_id"), F.col("pos"), span, step).alias("due"), (F.col("pos") >= span).alias("past"))
+    h = index.groupBy("value").agg(F.count("*").alias("times"))
+    j = t.join(h, "value", "full_outer")
+    has, due, marked = F.col("times").isNotNull(), F.coalesce("due", F.lit(False)), F.coalesce("marked", F.lit(False))
+    kinds = {"missing": due & ~has, "extra": ~due & has, "unflagged": due & ~marked, "flagged": ~due & marked, "outside": F.coalesce("past", F.lit(False)), "repeated": F.coalesce("times", F.lit(0)) > 1}
+    each = [F.struct(F.lit(k).alias("kind"), F.count_if(c).alias("n"), F.min(F.when(c, F.col("value"))).alias("first_index")) for k, c in kinds.items()]
+    return j.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.kind", "x.n", "x.first_index").where("n > 0")
+
+
+def captured(rows: DataFrame, hidden: DataFrame, keys: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
+    """The rows whose hidden vector was captured."""
+    return rows.join(hidden.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def with_hidden(rows: DataFrame, hidden: DataFrame, keys: Sequence[str] = ("doc_id", "pos", "layer"), column: str = "hidden") -> DataFrame:
+    """The rows with their hidden vector; a row without one, or a key that ``hidden`` repeats, is refused."""
+    require_unique(hidden, *keys)
+    refuse_if_any(rows.join(hidden.select(*keys), list(keys), "left_anti"), "no hidden vector")
+    return rows.join(hidden.select(*keys, column), list(keys))
+
+
+def first_tokens(tokens: DataFrame, most: int, row: str = "row_id", keys: Sequence[str] = ("shard_id",)) -> DataFrame:
+    """The first ``most`` tokens in the order of (``keys``, ``row``): those whose number of tokens before
+    them is less, counted by running sums over ranges of rows."""
+    ranked = running(tokens.withColumn("_all", F.lit(0)), ["_all"], F.struct(*keys, F.floor(F.col(row) / SPAN).alias("lead")), [*keys, row], F.lit(1), "_before")
+    return ranked.where(F.col("_before") < most).drop("_all", "_before")
+
+
 def verdict(findings: DataFrame) -> int:
     """PASSED unless a finding ``(check, severity, message)`` has the severity ``error``."""
     return FAILED if findings.where("severity = 'error'").take(1) else PASSED

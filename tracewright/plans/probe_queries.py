@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import probes
+from ..operators import counts, information, probes
 from ..operators.checks import rounded
-from .views import N_EXPERTS, N_SCORES, SCORE_K, frame
+from ..operators.tables import kept
+from .views import N_EXPERTS, N_SCORES, SCORE_K, TOP_K, frame
 
 
 def _sets(spark, d):
@@ -28,16 +29,28 @@ def probe_linear_f3(spark, d):
     return _shown(probes.evaluate(probes.beside(_sets(spark, d), "pos", N_EXPERTS), "linear", N_EXPERTS))
 
 
+def _f1_block(s):
+    """Log probabilities of every expert by the fitted F1 table, for each (layer, token) of the trace; a
+    token that train lacks has the prior. Rows are at most vocabulary times layers, of one value an expert."""
+    keys = ["layer"]
+    all_ = kept(counts.cells(s.select("split", "layer", "token_id", F.explode("experts").alias("expert")), ["split", *keys]))
+    train, val = (all_.where(F.col("split") == x).drop("split") for x in ("train", "val"))
+    alpha = counts.best_alpha(counts.alpha_grid(train, val, keys, N_EXPERTS, TOP_K), keys)
+    prior = information.marginal(information.slot_counts(train, keys, N_EXPERTS, "times"), keys, smoothing=1.0)
+    prior = prior.groupBy("layer").agg(F.transform(F.sort_array(F.collect_list(F.struct("expert", "p"))), lambda x: x["p"]).alias("prior"))
+    seen = train.groupBy("layer", "token_id").agg(F.map_from_entries(F.collect_list(F.struct("expert", "times"))).alias("seen"), F.sum("times").alias("row_n"))
+    strength = F.col("alpha") * F.lit(float(TOP_K))
+    times = lambda e: F.coalesce(F.element_at("seen", e), F.lit(0))
+    p = lambda e: (times(e.cast("int")) + strength * F.get("prior", e.cast("int"))) / (F.coalesce("row_n", F.lit(0)) + strength)
+    tokens = all_.select("layer", "token_id").distinct().join(seen, ["layer", "token_id"], "left").join(F.broadcast(prior.join(alpha, "layer")), "layer")
+    return tokens.select("layer", "token_id", F.transform(F.sequence(F.lit(0), F.lit(N_EXPERTS - 1)), lambda e: F.log(p(e))).alias("f1"))
+
+
 def probe_f6(spark, d):
-    """Three blocks: log probabilities of the token's train counts, the set below, the set before."""
+    """Three blocks: log probabilities of the fitted F1 table, the set below, the set before."""
     s = _sets(spark, d)
-    train = s.where("split = 'train'").select("layer", "token_id", F.explode("experts").alias("expert"))
-    seen = train.groupBy("layer", "token_id", "expert").agg(F.count("*").alias("n"))
-    cells = seen.groupBy("layer", "token_id").agg(F.map_from_entries(F.collect_list(F.struct("expert", "n"))).alias("seen"), F.sum("n").alias("total"))
-    logp = F.transform(F.sequence(F.lit(0), F.lit(N_EXPERTS - 1)), lambda e: F.log((F.coalesce(F.element_at("seen", e), F.lit(0)) + 1) / (F.col("total") + N_EXPERTS)))
-    table = cells.select("layer", "token_id", logp.alias("f1"))
     below = probes.beside(s, "layer", N_EXPERTS).select("doc_id", "pos", "layer", F.col("features").alias("below"))
-    rows = probes.beside(s, "pos", N_EXPERTS).join(below, ["doc_id", "pos", "layer"]).join(s.select("doc_id", "pos", "layer", "token_id"), ["doc_id", "pos", "layer"]).join(table, ["layer", "token_id"])
+    rows = probes.beside(s, "pos", N_EXPERTS).join(below, ["doc_id", "pos", "layer"]).join(s.select("doc_id", "pos", "layer", "token_id"), ["doc_id", "pos", "layer"]).join(_f1_block(s), ["layer", "token_id"])
     rows = rows.withColumn("features", probes.joined(F.col("f1"), F.col("below"), F.col("features")))
     return _shown(probes.evaluate(rows, "linear", N_EXPERTS))
 

@@ -1,13 +1,13 @@
-"""Corpus lines, split maps, result documents, logs, measurements and checkpoint headers."""
+"""Corpus lines and their sidecar, split maps, result documents, logs, measurements and configurations."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import re
-import struct
+import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +79,13 @@ def parse_nodes(lines: DataFrame) -> DataFrame:
     return out.select("name", F.regexp_replace("name", r"-\d+$", "").alias("base"), F.when(layer != "", layer.cast("int")).alias("il"), "dtype", "op", shape.alias("shape"), sources.alias("sources"))
 
 
-def node_counts(nodes: DataFrame, bases: list[str]) -> DataFrame:
-    """``il, base, n`` for every layer seen and wanted node name: exactly one each is right."""
-    spine = nodes.where("il IS NOT NULL").select("il").distinct().withColumn("base", F.explode(F.array(*map(F.lit, bases))))
+def node_counts(nodes: DataFrame, bases: list[str], n_layers: int | None = None) -> DataFrame:
+    """``il, base, n`` for every layer and wanted node name: exactly one each is right. Layers are those
+    expected, 0 to ``n_layers`` - 1, and those seen, so that one without any node is reported."""
+    layers = nodes.where("il IS NOT NULL").select("il")
+    if n_layers:
+        layers = layers.unionByName(nodes.sparkSession.range(n_layers).select(F.col("id").cast("int").alias("il")))
+    spine = layers.distinct().withColumn("base", F.explode(F.array(*map(F.lit, bases))))
     return spine.join(nodes.groupBy("il", "base").agg(F.count("*").alias("n")), ["il", "base"], "left").select("il", "base", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -98,83 +102,11 @@ def parse_bench(texts: DataFrame, commit: str | None = None) -> DataFrame:
     return rows
 
 
-#: Scalar widths of header values by type number; 8 is a string, 9 an array.
-_WIDTH = {0: 1, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 1, 10: 8, 11: 8, 12: 8}
-_STRING, _ARRAY, _MAGIC = 8, 9, b"GGUF"
-
-
-def header_tensors(data: bytes) -> list[tuple[str, list[int], int, int]]:
-    """(name, dims, type, offset) of the tensors of a version-3 header; no tensor data is looked at."""
-    at = 0
-
-    def take(form: str) -> int:
-        nonlocal at
-        value = struct.unpack_from("<" + form, data, at)[0]
-        at += struct.calcsize(form)
-        return value
-
-    def text() -> str:
-        nonlocal at
-        n = take("Q")
-        at += n
-        return data[at - n : at].decode()
-
-    def skip(kind: int) -> None:
-        nonlocal at
-        if kind == _STRING:
-            text()
-        elif kind == _ARRAY:
-            inner, n = take("I"), take("Q")
-            if inner == _ARRAY:
-                raise Refused("an array of arrays")
-            if inner == _STRING:
-                for _ in range(n):
-                    text()
-            else:
-                at += _WIDTH[inner] * n
-        else:
-            at += _WIDTH[kind]
-
-    if data[:4] != _MAGIC:
-        raise Refused("no such header")
-    at = 4
-    if (version := take("I")) != 3:
-        raise Refused(f"header version {version}")
-    tensors, pairs = take("Q"), take("Q")
-    for _ in range(pairs):
-        text()
-        skip(take("I"))
-    out = []
-    for _ in range(tensors):
-        name, n = text(), take("I")
-        if n > 4:
-            raise Refused(f"{name} has {n} dimensions")
-        dims = [take("Q") for _ in range(n)]
-        out.append((name, dims, take("I"), take("Q")))
-    return out
-
-
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, dims, type, offset`` for each tensor of the checkpoint files below a path."""
-
-    def parse(batches):
-        for batch in batches:
-            rows = [(p, *t) for p, content in zip(batch["path"], batch["content"]) for t in header_tensors(bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "name", "dims", "type", "offset"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, name string, dims array<long>, type int, offset long")
-
-
 def canonical_hash(payload: dict) -> str:
     """SHA-256 of a configuration: sorted keys, no spaces, no NaN."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def parse_shard_ids(text: str) -> list[int]:
     """Shard numbers from ``0-3,7``."""
     out: set[int] = set()
@@ -184,3 +116,96 @@ def parse_shard_ids(text: str) -> list[int]:
         low, _, high = part.partition("-")
         out.update(range(int(low), int(high or low) + 1))
     return sorted(out)
+
+
+def blake2b(text: Column, bits: int = 64) -> Column:
+    """Hex digest of a text by BLAKE2b of 64 or 128 bits, which Spark has no function for."""
+    size = bits // 8
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else hashlib.blake2b(t.encode(), digest_size=size).hexdigest() for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def expanded(template: Column, number: Column) -> Column:
+    """A name template with its one ``%d`` replaced; null where it has none or several."""
+    once = F.length(template) - F.length(F.replace(template, F.lit("%d"), F.lit(""))) == 2
+    return F.when(once, F.replace(template, F.lit("%d"), number.cast("string")))
+
+
+def write_sidecar(spark: SparkSession, docs: DataFrame, path: str) -> None:
+    """A one-line JSON beside a corpus: documents, tokens and shards, tokens by split and domain, and a
+    digest of ids and texts that does not depend on the order of the rows."""
+    line = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
+    part = F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")
+    total = docs.agg(F.count("*").alias("n_docs"), F.sum("n_tokens_ref").alias("n_tokens_ref"), F.countDistinct("shard_id").alias("n_shards"), F.sum(part).cast("string").alias("content_sum"))
+    groups = {c: {r[c]: r["n"] for r in docs.groupBy(c).agg(F.sum("n_tokens_ref").alias("n")).orderBy(c).collect()} for c in ("split", "domain")}
+    row = total.first().asDict() | {f"tokens_by_{c}": v for c, v in groups.items()}
+    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def _replace(spark: SparkSession, uri: str, data: bytes) -> None:
+    """Writes a file whole or not at all: to a name of its own first, which then takes the old one's place."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(uri)
+    part = jvm.org.apache.hadoop.fs.Path(f"{uri}.{uuid.uuid4().hex}.part")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else target.makeQualified(jvm.java.net.URI("file:///"), jvm.org.apache.hadoop.fs.Path("/")).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, target, options)
+
+
+def write_result(spark: SparkSession, folder: str, document: dict) -> str:
+    """Writes the result document of a (model, feature) as ``model__feature.json`` in place of an older one
+    and returns its path. NaN and infinity are refused."""
+    uri = f"{folder.rstrip('/')}/{document['model']}__{document['feature']}.json"
+    _replace(spark, uri, json.dumps(document, sort_keys=True, indent=1, allow_nan=False).encode())
+    return uri
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends rows to a log of CSV files with a header each; a log with other columns is refused."""
+    spark = rows.sparkSession
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(old):
+        there = spark.read.option("header", True).csv(path).columns
+        if there and there != rows.columns:
+            raise Refused(f"the log has the columns {there}, not {rows.columns}")
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a log or table of CSV files."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A YAML or JSON configuration file; one that is no mapping is refused."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise Refused("reading YAML needs the yaml package; JSON is read without it") from e
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise Refused("a configuration is a mapping")
+    return found
+
+
+def model_rows(spark: SparkSession, config: dict) -> DataFrame:
+    """``model, n_moe_layers, n_experts, top_k, aux_loss`` from a configuration's ``models`` mapping."""
+    names = ("n_moe_layers", "n_experts", "top_k")
+    rows = []
+    for model, meta in sorted(config.get("models", {}).items()):
+        if lost := [n for n in names if meta.get(n) is None]:
+            raise Refused(f"{model} lacks {', '.join(lost)}")
+        rows.append((model, *(int(meta[n]) for n in names), None if meta.get("aux_loss") is None else float(meta["aux_loss"])))
+    return spark.createDataFrame(rows, "model string, n_moe_layers int, n_experts int, top_k int, aux_loss double")
