@@ -92,4 +92,7 @@ def exclusions_f4(spark, d):
 
 
 QUERIES = {"probe_linear_f2": probe_linear_f2, "probe_linear_f3": probe_linear_f3, "probe_f6": probe_f6, "probe_fv": probe_fv, "probe_linear_f4": probe_linear_f4, "probe_mlp_f5": probe_mlp_f5, "exclusions_f4": exclusions_f4}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "exclusions_f4": """SELECT CAST(layer AS INT) AS layer, 'F4' AS feature, CASE WHEN layer = 0 THEN 0 ELSE n END AS kept, CASE WHEN layer = 0 THEN n ELSE 0 END AS excluded,
+  CASE WHEN layer = 0 AND n > 0 THEN 'no layer below' END AS reason FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN (SELECT unnest([0, 1]) AS layer)""",
+}
