@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -116,17 +119,32 @@ def is_unspaced(text: Column) -> Column:
     return F.coalesce(class_fraction(text, UNSPACED) >= LEAST_UNSPACED, F.lit(False))
 
 
-def signature(text: Column, digest=F.md5) -> Column:
-    """The smallest digests of a text's shingles: of words, of characters for unspaced scripts and
-    short texts, of the whole text where that is shorter than two shingles."""
-    low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
-    squeezed = F.trim(F.regexp_replace(low, "(?U)\\s+", " "))
-    by_word = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE_WORDS + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE_WORDS), " "))
-    windows = lambda q: F.transform(F.sequence(F.lit(1), F.length(q) - SHINGLE_CHARS + 1), lambda i: F.substring(q, i, SHINGLE_CHARS))
-    by_char = lambda q: F.when(F.length(q) < 2 * SHINGLE_CHARS, F.array(q)).otherwise(windows(q))
-    units = let(words, lambda w: F.when(is_unspaced(low) | (F.size(w) < SHINGLE_WORDS), let(squeezed, by_char)).otherwise(by_word(w)))
-    return F.slice(F.sort_array(F.transform(F.array_distinct(units), lambda u: digest(u))), 1, SKETCH)
+#: What parts words in a squeezed text: Unicode white space.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_WORDS, _UNSPACED = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
+
+
+def _units(low: str) -> set[str]:
+    """The distinct shingles of a lower-cased text: of words, of characters for unspaced scripts and short
+    texts, the whole text where that is shorter than two shingles."""
+    words = _WORDS.findall(low)
+    solid = 0 if low.isascii() else len(_SPACE.sub("", low))
+    if len(words) < SHINGLE_WORDS or (solid and len(_UNSPACED.findall(low)) >= LEAST_UNSPACED * solid):
+        q = _SPACE.sub(" ", low).strip(" ")
+        return {q} if len(q) < 2 * SHINGLE_CHARS else {q[i : i + SHINGLE_CHARS] for i in range(len(q) - SHINGLE_CHARS + 1)}
+    return {" ".join(words[i : i + SHINGLE_WORDS]) for i in range(len(words) - SHINGLE_WORDS + 1)}
+
+
+def signature(text: Column) -> Column:
+    """The smallest MD5 digests of a text's distinct shingles, in order; null for a null text. Only the
+    least SKETCH are kept while a text's shingles are gone through, a batch of texts at a time."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        digest = lambda u: hashlib.md5(u.encode(), usedforsecurity=False).hexdigest()
+        return pa.array([None if t is None else heapq.nsmallest(SKETCH, map(digest, _units(t))) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run(F.lower(text))
 
 
 def bands(sketch: Column) -> Column:
