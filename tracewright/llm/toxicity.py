@@ -35,7 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Before a beginning: the text has it in two different chunks or more.
 TWICE = "2"
-KEPT_CHUNKS = 200_000
+#: Chunks that a worker keeps the features of: those of a model, and all features, which take far more room.
+KEPT_CHUNKS, KEPT_WHOLE = 100_000, 20_000
 #: Unlabelled documents of a block, on average.
 BLOCK = 16_384
 
@@ -73,7 +74,7 @@ class _Chunks(dict):
     def of(self, text: str) -> list[str]:
         """The features of a text, those that it has twice among them."""
         times = Counter(chain.from_iterable(map(self.__getitem__, set(text.lower().split()))))
-        if len(self) > KEPT_CHUNKS:
+        if len(self) > (KEPT_WHOLE if self.names is None else KEPT_CHUNKS):
             self.clear()
         return [*times, *(TWICE + f for f, n in times.items() if n > 1 and f[0] != "=")]
 
