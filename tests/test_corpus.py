@@ -135,6 +135,18 @@ def test_first_kept_is_the_sequential_rule(spark, seed):
     assert {r.doc_id: r.reason for r in corpus.first_kept(frame).collect()} == sequential(rows)
 
 
+def test_truncation_by_a_counter(spark):
+    """With a counter that takes a quarter of the code points, the general rule is the rule for that ratio; by
+    words, the result holds as many as it may."""
+    texts = ["", "word " * 30, "line one is here\nline two is longer than it", "x" * 50, " " * 60, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for cap in (1, 5, 7, 10):
+        got = frame.select(T.truncated(F.col("t"), cap).alias("a"), T.truncated_by(F.col("t"), lambda s: max(1, -(-len(s) // 4)), cap).alias("b")).collect()
+        assert all(r.a == r.b for r in got)
+    words = [r.w for r in frame.select(T.truncated_by(F.col("t"), lambda s: len(s.split()), 4, slack=0.5).alias("w")).collect()]
+    assert words == ["", "word word word word", "line one is here", "x" * 50, " " * 60, None]
+
+
 def test_text_rules(spark):
     raw = "a \r\n\r\n\r\n\r\nb\x00c\t\r  d é  "
     row = spark.createDataFrame([(raw,)], "t string").select(T.normalise_whitespace(F.col("t")).alias("n")).first()

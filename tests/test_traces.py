@@ -34,6 +34,65 @@ def test_round_trip_across_shards(spark, root):
     assert {h["index"] for h in hidden.collect()} == flagged and all(len(h.hidden) == 8 for h in hidden.collect())
 
 
+SHAPE = {"n_moe_layers": 4, "n_experts": 16, "top_k": 3, "hidden_dim": 8, "index_doc_span": 64, "hidden_stride": 4, "run_config_sha256": "0" * 64, "logit_tensor_used": "scores"}
+
+
+def trace_rows(spark, uri):
+    """What ``write`` takes, joined from the streams of a trace."""
+    t = traces.read(spark, uri, "tokens").withColumnRenamed("pos_in_doc", "pos")
+    at = ["model", "corpus", "shard_id"]
+    rows = t.join(traces.read(spark, uri, "topk"), [*at, "row_id"]).join(traces.read(spark, uri, "logits"), [*at, "row_id", "layer"])
+    hidden = traces.read(spark, uri, "hidden").withColumnRenamed("index", "place")
+    return rows.withColumn("place", F.col("doc_id") * 64 + F.col("pos")).join(hidden, [*at, "layer", "place"], "left")
+
+
+def test_written_shards_hold_the_same_bytes(spark, tmp_path):
+    """Small Arrow batches cut tokens and shards; a second write replaces the first; attempts leave nothing."""
+    source, target = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    traces.synthetic(source, [40, 20, 30])
+    rows = trace_rows(spark, source).withColumn("extra", F.lit("x")).cache()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for _ in range(2):
+            found = {(r.shard_id, r.n_tokens, r.n_captured) for r in traces.write(rows, target, SHAPE).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(s, n) for s, n, _ in found} == {(0, 40), (1, 20), (2, 30)}
+    files = sorted(p.relative_to(tmp_path / "a") for p in (tmp_path / "a").rglob("*") if p.is_file())
+    assert files == sorted(p.relative_to(tmp_path / "b") for p in (tmp_path / "b").rglob("*") if p.is_file()) and len(files) == 18
+    for f in files:
+        a, b = (tmp_path / "a" / f).read_bytes(), (tmp_path / "b" / f).read_bytes()
+        assert json.loads(a) == json.loads(b) if f.suffix == ".json" else a == b
+    assert traces.read(spark, target).count() == 90
+
+
+@pytest.mark.parametrize(
+    "change, message",
+    [
+        (lambda r: r.where("doc_id <> 1 OR pos <> 3 OR layer <> 2"), "lacks a layer"),
+        (lambda r: r.where("doc_id <> 1 OR pos <> 3"), "gap or a repeated token"),
+        (lambda r: r.unionByName(r.where("doc_id = 1")), "lacks a layer"),
+        (lambda r: r.withColumn("hidden", F.when(F.col("layer") > 0, F.col("hidden"))), "captured in part"),
+        (lambda r: r.withColumn("scores", F.slice("scores", 1, 15)), "without 16 values"),
+        (lambda r: r.withColumn("scores", F.transform("scores", lambda x: x * 1e6)), "beyond half precision"),
+        (lambda r: r.withColumn("token_id", F.when(F.col("pos") > 0, F.col("token_id"))), "null in its key"),
+        (lambda r: r.withColumn("token_id", F.col("token_id") - 1000), "does not fit 32 bits"),
+    ],
+)
+def test_traces_that_cannot_be_written(spark, tmp_path, change, message):
+    traces.synthetic(f"file://{tmp_path}/a", [20])
+    with pytest.raises(Exception, match=message):
+        traces.write(change(trace_rows(spark, f"file://{tmp_path}/a")), f"file://{tmp_path}/b", SHAPE)
+    assert not list(tmp_path.glob("b/*/*/*/manifest.json"))
+
+
+def test_an_empty_trace_writes_nothing(spark, tmp_path):
+    traces.synthetic(f"file://{tmp_path}/a", [10])
+    assert traces.write(trace_rows(spark, f"file://{tmp_path}/a").where("false"), f"file://{tmp_path}/b", SHAPE).count() == 0
+    assert not list(tmp_path.glob("b/**/*.bin"))
+
+
 def test_columns_are_pruned_to_the_stream_and_sizes_are_checked(spark, tmp_path):
     uri = f"file://{tmp_path}"
     traces.synthetic(uri, [20])

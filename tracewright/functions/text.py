@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -93,6 +95,25 @@ def truncated(text: Column, most_tokens: int, slack: float = 0.15) -> Column:
     return F.when(F.length(text) <= cap, text).otherwise(let(let(F.left(text, F.lit(cap)), drawn_back), trimmed))
 
 
+def truncated_by(text: Column, count: Callable[[str], int], most_tokens: int, slack: float = 0.15) -> Column:
+    """``truncated`` for a counter of one's own, such as a tokenizer: ``count`` must not fall when a text grows
+    and reaches the workers pickled. The longest prefix within the cap is found by bisection; null stays null."""
+
+    def cut(text: str) -> str:
+        if count(text) <= most_tokens:
+            return text
+        prefix = text[: max(0, bisect.bisect_right(range(len(text)), most_tokens, key=lambda n: count(text[:n])) - 1)]
+        ends = (prefix.rfind(sep) for sep in "\n ")
+        back = next((at for at in ends if at > 0 and at >= int(len(prefix) * (1.0 - slack))), len(prefix))
+        return prefix[:back].rstrip() or prefix[:back]
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else cut(t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def length_reason(text: Column, least: int, most: int) -> Column:
     """Why a text is dropped for its length, or null."""
     n = reference_tokens(text)
