@@ -56,6 +56,18 @@ def test_holes_keep_their_kind(spark):
     assert mean[("m", "F1")] == (0.0, 1, 3, "not_reached,skipped", None) and mean[("n", "F2")] == (None, 0, 1, "metric_absent", "no_layers")
 
 
+def test_cache_budget_follows_each_models_k(spark):
+    """A model whose 4k exceeds its experts has two budgets; a layer without a curve has no recall."""
+    panel = spark.createDataFrame([("a", 2, 8, 2), ("b", 1, 6, 3)], "model string, n_moe_layers int, n_experts int, top_k int")
+    curves = spark.createDataFrame([("a", 0, 2, 0.25), ("a", 0, 4, 0.5), ("a", 0, 8, 1.0), ("b", 0, 3, 0.75)], "model string, layer int, m int, recall double")
+    found = {(r.model, r.layer, r.m): (r.share, r.recall) for r in reports.cache_budget(panel, curves).collect()}
+    assert found == {
+        ("a", 0, 2): (0.25, 0.25), ("a", 0, 4): (0.5, 0.5), ("a", 0, 8): (1.0, 1.0), ("a", 1, 2): (0.25, None), ("a", 1, 4): (0.5, None), ("a", 1, 8): (1.0, None),
+        ("b", 0, 3): (0.5, 0.75), ("b", 0, 6): (1.0, None),
+    }
+    assert reports.axes(spark).count() == len(reports.AXES)
+
+
 def test_assembly_respects_budgets_rows_and_what_was_never_read(spark):
     words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
     rows = [(i, words(f"p{i}x", 30), "en", "web", i) for i in range(12)]

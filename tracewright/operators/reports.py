@@ -25,6 +25,15 @@ FIGURES = (
     ("first_or_second_choice_layer15", 15, 32, 0.616, 0.670, None),
 )
 
+#: Choices of definition that part a published figure from a measured one: axis, published side, measured side.
+AXES = (
+    ("first_choice_or_set", "the first choice alone, or membership in a set of two", "share of the whole set of k that returns"),
+    ("chance", "one over the number of experts", "k over the number of experts, so only the excess is comparable between models"),
+    ("layers", "per layer for repetition, pooled over layers for caches", "per layer, brought together on normalised depth only"),
+    ("capacity_or_step", "hits of a cache of some capacity over a whole run", "one step: repetition, or recall at k, 2k and 4k places"),
+    ("counted_or_fitted", "counted, nothing is fitted", "counted for repetition, fitted for the features"),
+)
+
 
 def depth(layer: Column, n_layers: Column) -> Column:
     """Layer over the last layer; 0 for a single layer."""
@@ -159,6 +168,22 @@ def figures(spark) -> DataFrame:
     return spark.createDataFrame(list(FIGURES), "figure string, fig_layer int, fig_layers int, low double, high double, chance double")
 
 
+def axes(spark) -> DataFrame:
+    return spark.createDataFrame(list(AXES), "axis string, published string, measured string")
+
+
+def cache_budget(panel: DataFrame, curves: DataFrame) -> DataFrame:
+    """``model, layer, m, share, recall``: for every layer of every model, what part of the true set a cache of
+    m places would have held, where m is k, 2k and 4k of that model, at most all experts, and ``share`` is m
+    over the experts. ``curves(model, layer, m, recall)`` are folded into one metric map a layer, which is read by
+    keys that follow the model's k; without a curve or without that budget the recall is null."""
+    maps = curves.groupBy("model", "layer").agg(F.map_from_entries(F.collect_list(F.struct(recall_key(1, F.col("m")), "recall"))).alias("metrics"))
+    places = F.array_distinct(F.array(*[F.least(F.col("top_k") * times, F.col("n_experts")) for times in (1, 2, 4)]))
+    spine = panel.withColumn("layer", F.explode(F.sequence(F.lit(0), F.col("n_moe_layers") - 1))).join(maps, ["model", "layer"], "left")
+    spine = spine.withColumn("m", F.explode(places))
+    return spine.select("model", "layer", "m", (F.col("m") / F.col("n_experts")).alias("share"), F.try_element_at("metrics", recall_key(1, F.col("m"))).alias("recall"))
+
+
 def nearest_depth(figures_: DataFrame, points: DataFrame) -> DataFrame:
     """Each figure beside the layer of each model that is nearest in normalised depth, the lower layer
     where equal. ``points(model, n_moe_layers, layer, ...)`` has a row per model and layer and the figures

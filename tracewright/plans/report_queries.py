@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports, validation
 from ..operators.checks import rounded
+from .score_queries import RECALL_SQL, topm_recall_curve
 from .views import frame, with_views
 
 FEATURES = ("F0", "F1", "F2", "F3", "F4")
@@ -169,17 +170,18 @@ RECONCILE_SQL = with_views(
 
 
 def cache_budget(spark, d):
-    """Recall at k, 2k and 4k by a key that depends on the model's k, from a metric map."""
-    c = frame(spark, d, "cells").where("status = 'ok' AND feature IN ('F1', 'F3', 'F4')").join(frame(spark, d, "panel"), "model")
-    metrics = F.map_from_arrays(F.array(*[reports.recall_key(m, F.col("top_k")) for m in (1, 2, 4)]), F.array(F.col("agreement"), F.least(F.col("agreement") * 1.5, F.lit(1.0)), F.least(F.col("agreement") * 2, F.lit(1.0))))
-    c = c.withColumn("metrics", metrics)
-    return c.select("model", "feature", "layer", *[rounded(F.try_element_at("metrics", reports.recall_key(m, F.col("top_k")))).alias(f"recall_{m}k") for m in (1, 2, 4)])
+    """The score rows are the traces of alpha, whose shape they have; the other models have no curve."""
+    curves = topm_recall_curve(spark, d).withColumn("model", F.lit("alpha"))
+    b = reports.cache_budget(frame(spark, d, "panel"), curves)
+    return b.withColumns({"share": rounded(F.col("share")), "recall": rounded(F.col("recall"))})
 
 
 CACHE_SQL = with_views(
-    """SELECT model, feature, layer, round(agreement, 9) AS recall_1k, round(least(agreement * 1.5::DOUBLE, 1.0::DOUBLE), 9) AS recall_2k, round(least(agreement * 2, 1.0::DOUBLE), 9) AS recall_4k
-  FROM cells WHERE status = 'ok' AND feature IN ('F1', 'F3', 'F4')""",
-    "cells",
+    f"""WITH curve AS ({RECALL_SQL}),
+  budgets AS (SELECT DISTINCT model, n_moe_layers, n_experts, least(top_k * t, n_experts) AS m FROM panel CROSS JOIN (SELECT unnest([1, 2, 4]) AS t)),
+  spine AS (SELECT *, unnest(range(n_moe_layers))::INTEGER AS layer FROM budgets)
+  SELECT s.model, s.layer, s.m, round(s.m / s.n_experts::DOUBLE, 9) AS share, c.recall FROM spine s LEFT JOIN curve c ON s.model = 'alpha' AND c.layer = s.layer AND c.m = s.m""",
+    "panel",
 )
 
 
