@@ -107,7 +107,7 @@ def test_framing_goes_with_every_row_and_totals(spark):
 def test_sweep_goes_on_where_it_stopped(spark, tmp_path):
     folder = f"file://{tmp_path}/results"
     model = {"model": "m", "run_config_sha256": "c", "logit_tensor_used": "t", "n_moe_layers": 2, "n_experts": 8, "top_k": 2}
-    rows = spark.createDataFrame([(1, 50, 0.5, 0.25, 3.0, 2.0, 1.0)], "layer int, n_rows long, set_agreement double, exact_match double, entropy_bits double, cross_entropy_bits double, mi_bits double")
+    rows = spark.createDataFrame([(1, 50, 0.5, 0.75, 0.25, 3.0, 2.0, 1.0)], "layer int, n_rows long, set_agreement double, recall_2k double, exact_match double, entropy_bits double, cross_entropy_bits double, mi_bits double")
     made = []
 
     def feature(name):
@@ -117,7 +117,7 @@ def test_sweep_goes_on_where_it_stopped(spark, tmp_path):
     assert sweep.sweep(spark, folder, model, {"F2": feature("F2"), "F3": feature("F3")}) == ["F3"] and made == ["F2", "F3"]
     cells = documents.read_results(spark, folder).orderBy("feature", "layer").collect()
     assert [(c.feature, c.layer, c.status, c.reason) for c in cells] == [("F2", 0, "skipped", "no layer below"), ("F2", 1, "ok", None), ("F3", 0, "skipped", "no rows"), ("F3", 1, "ok", None)]
-    assert cells[1].metrics.family_b["mi_bits"] == 1.0 and cells[1].metrics.n_slots == 100
+    assert cells[1].metrics.family_b["mi_bits"] == 1.0 and cells[1].metrics.family_a["recall@4"] == 0.75 and cells[1].metrics.n_slots == 100
     with pytest.raises(Refused):
         sweep.sweep(spark, folder, model | {"run_config_sha256": "d"}, {"F2": feature("F2")})
     documents.write_result(spark, folder, {"model": "m", "feature": "F2", "layers": {}} | model)

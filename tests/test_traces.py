@@ -172,6 +172,10 @@ def test_network_beats_linear_on_a_product(spark):
     linear = probes.evaluate(frame, "linear", 2).first()
     network = probes.evaluate(frame, "mlp", 2).first()
     assert network.set_agreement > 0.99 > 0.7 > linear.set_agreement
+    # One bit to know, nearly all of which the network has; it stays within what the bound allows.
+    assert network.entropy_bits == pytest.approx(1.0, abs=0.01) and network.mi_bits == pytest.approx(network.entropy_bits - network.cross_entropy_bits)
+    assert network.n_slots == network.n_rows == sum(r[1] == "test" for r in rows) and not network.negative and network.ratio > 0.9 > 0.1 > linear.ratio
+    assert network.recall_2k == network.recall_4k == 1.0
     again = probes.evaluate(frame.repartition(5), "mlp", 2).first()
     assert again.cross_entropy_bits == pytest.approx(network.cross_entropy_bits)
 

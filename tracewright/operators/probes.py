@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from . import information
 from .information import EPSILON
 
 #: The training recipe.
@@ -138,12 +139,13 @@ def _targets(sets: pd.Series, n: int) -> np.ndarray:
 
 
 def evaluate(rows: DataFrame, kind: str, n_experts: int, dense: bool = False, most_rows: int = 20_000, seed: int = 0) -> DataFrame:
-    """``layer, n_rows, epochs, cross_entropy_bits, set_agreement, exact_match`` on the test rows of
-    ``rows(layer, split, row_key, features array, experts array)``.
+    """``layer, n_rows, epochs``, both families of figures (``set_agreement, recall_2k, recall_4k, exact_match``;
+    ``n_slots, entropy_bits, cross_entropy_bits, mi_bits, ratio, ce_normalized, entropy_normalized, negative``) on
+    the test rows of ``rows(layer, split, row_key, features array, experts array)``.
 
     A probe is fitted per layer on at most about ``most_rows`` rows of train and of val, chosen by a hash
     of ``row_key``. Test rows are scored where they lie and only sums are shuffled. A layer without train
-    or val rows gives no row. The reference marginal is of the test split.
+    or val rows gives no row. Reference marginal and entropy are of the test split, as the bound demands.
     """
     spark = rows.sparkSession
     known = rows.where("split <> 'test'")
@@ -162,10 +164,12 @@ def evaluate(rows: DataFrame, kind: str, n_experts: int, dense: bool = False, mo
 
     fitted = {r["layer"]: (r["epochs"], r["probe"]) for r in sample.groupBy("layer").applyInPandas(train, "layer int, epochs int, probe binary").collect()}
     test = rows.where("split = 'test'")
-    counts = test.select("layer", F.explode("experts").alias("expert")).groupBy("layer", "expert").count().collect()
+    # Layers times experts: a table of bounded size, read once for the marginals and the entropies.
+    slots = information.slot_counts(test.select("layer", F.explode("experts").alias("expert")), ["layer"], n_experts)
+    counts = slots.collect()
     marginals: dict[int, np.ndarray] = {}
     for r in counts:
-        marginals.setdefault(r["layer"], np.zeros(n_experts))[r["expert"]] = r["count"]
+        marginals.setdefault(r["layer"], np.zeros(n_experts))[r["expert"]] = r["n"]
     held = spark.sparkContext.broadcast({k: (probe, marginals[k] / marginals[k].sum()) for k, (_, probe) in fitted.items() if k in marginals})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +185,19 @@ def evaluate(rows: DataFrame, kind: str, n_experts: int, dense: bool = False, mo
                 bits = -np.log2((1 - EPSILON) * q + EPSILON * marginal, where=truth, out=np.zeros_like(q)).sum()
                 rank = np.lexsort((np.broadcast_to(np.arange(n_experts), q.shape), -q), axis=1)
                 # Of each row's ranking the first k places count, k by row.
-                hits = (np.take_along_axis(truth, rank, axis=1) & (np.arange(n_experts) < k[:, None])).sum(axis=1)
-                yield pd.DataFrame({"layer": [layer], "n": [len(q)], "slots": [int(k.sum())], "bits": [bits], "agreement": [(hits / k).sum()], "exact": [int((hits == k).sum())]})
-
-    sums = test.select("layer", "features", "experts").mapInPandas(score, "layer int, n long, slots long, bits double, agreement double, exact long")
-    out = sums.groupBy("layer").agg(F.sum("n").alias("n_rows"), (F.sum("bits") / F.sum("slots")).alias("cross_entropy_bits"), (F.sum("agreement") / F.sum("n")).alias("set_agreement"), (F.sum("exact") / F.sum("n")).alias("exact_match"))
+                found = np.take_along_axis(truth, rank, axis=1)
+                hits, twice, fourfold = ((found & (np.arange(n_experts) < times * k[:, None])).sum(axis=1) for times in (1, 2, 4))
+                yield pd.DataFrame({"layer": [layer], "n": [len(q)], "slots": [int(k.sum())], "bits": [bits], "agreement": [(hits / k).sum()], "twice": [(twice / k).sum()], "fourfold": [(fourfold / k).sum()], "exact": [int((hits == k).sum())]})
+
+    sums = test.select("layer", "features", "experts").mapInPandas(score, "layer int, n long, slots long, bits double, agreement double, twice double, fourfold double, exact long")
+    mean = lambda c: F.sum(c) / F.sum("n")
+    out = sums.groupBy("layer").agg(
+        F.sum("n").alias("n_rows"), F.sum("slots").alias("n_slots"), (F.sum("bits") / F.sum("slots")).alias("cross_entropy_bits"),
+        mean("agreement").alias("set_agreement"), mean("twice").alias("recall_2k"), mean("fourfold").alias("recall_4k"), mean("exact").alias("exact_match"),
+    )
+    entropy = information.entropy(spark.createDataFrame(counts, slots.schema), ["layer"])
+    bound = information.mutual_information(entropy, out.select("layer", "n_slots", "cross_entropy_bits"), ["layer"], n_experts)
+    out = bound.join(out.drop("n_slots", "cross_entropy_bits"), "layer")
     epochs = F.create_map(*[F.lit(x) for k, (e, _) in fitted.items() for x in (k, e)]) if fitted else F.lit(None)
     return out.withColumn("epochs", epochs[F.col("layer")] if fitted else F.lit(None).cast("int"))
 

@@ -10,7 +10,7 @@ from ..sources.documents import write_result
 from .checks import Refused
 
 #: Figures of a cell by family: overlap with the true set, and information.
-FAMILY_A = ("set_agreement", "exact_match")
+FAMILY_A = ("set_agreement", "exact_match", "recall_2k", "recall_4k")
 FAMILY_B = ("entropy_bits", "cross_entropy_bits", "mi_bits", "ratio", "ce_normalized", "entropy_normalized")
 
 
@@ -34,9 +34,10 @@ def sweep(spark: SparkSession, folder: str, model: Mapping, features: Mapping[st
     done, and returns their names.
 
     ``model`` holds model, run_config_sha256, logit_tensor_used, n_moe_layers, n_experts, top_k; a feature
-    gives ``layer, n_rows`` and figures by layer. A layer without a row is ``skipped`` with its reason.
+    gives ``layer, n_rows`` and figures by layer; recalls are stored by the number of places. A layer without a row is ``skipped`` with its reason.
     """
     have, written = done(spark, folder, model), []
+    keys = {f"recall_{m}k": f"recall@{m * model['top_k']}" for m in (2, 4)}
     for feature, make in features.items():
         if feature in have:
             continue
@@ -45,7 +46,7 @@ def sweep(spark: SparkSession, folder: str, model: Mapping, features: Mapping[st
         for layer in range(model["n_moe_layers"]):
             cell: dict = {"layer": layer, "model_layer": layer, "status": "ok" if layer in rows else "skipped"}
             if layer in rows:
-                families = ({k: float(rows[layer][k]) for k in names if rows[layer].get(k) is not None} for names in (FAMILY_A, FAMILY_B))
+                families = ({keys.get(k, k): float(rows[layer][k]) for k in names if rows[layer].get(k) is not None} for names in (FAMILY_A, FAMILY_B))
                 cell["metrics"] = {"split": "test", "n_rows": rows[layer]["n_rows"], "n_slots": rows[layer]["n_rows"] * model["top_k"], **dict(zip(("family_a", "family_b"), families))}
             else:
                 cell["reason"] = (reasons or {}).get(feature, {}).get(layer, "no rows")
