@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from . import information
 from .information import EPSILON
+from .tables import dealt
 
 #: The training recipe.
 BATCH, EPOCHS, PATIENCE, LEAST_GAIN = 4096, 60, 5, 1e-5
@@ -148,6 +149,8 @@ def evaluate(rows: DataFrame, kind: str, n_experts: int, dense: bool = False, mo
     or val rows gives no row. Reference marginal and entropy are of the test split, as the bound demands.
     """
     spark = rows.sparkSession
+    # Read four times, by split and mostly without the features.
+    rows = dealt(rows.select("layer", "split", "row_key", "features", "experts"), ["split"])
     known = rows.where("split <> 'test'")
     sizes = known.groupBy("layer", "split").count()
     lot = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) / float(1 << 30)
