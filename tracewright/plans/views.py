@@ -86,12 +86,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
 }
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver or a view, as a DataFrame."""
+def frame(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table of the driver or a view, as a DataFrame; ``given`` are those that are at hand, by name."""
+    if given and name in given:
+        return given[name]
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     tables, views, sql = VIEWS[name]
-    return spark.sql(_bound(sql, (*tables, *views)), **{n: frame(spark, sf_dir, n) for n in (*tables, *views)})
+    return spark.sql(_bound(sql, (*tables, *views)), **{n: frame(spark, sf_dir, n, given) for n in (*tables, *views)})
 
 
 def _bound(sql: str, names: tuple[str, ...]) -> str:
